@@ -5,7 +5,8 @@ Shared by the two operators that remove repeated passages. The plan:
 1. Each window of `size` units picks an anchor: its k-gram with the least hash, the leftmost of ties. Equal windows pick
    equal anchors at equal offsets, and neighbouring windows mostly share one, so there are about 2 / (size - k + 2) anchors
    a unit. A row is an anchor's hash `h`, the hash `c` of all units that its windows span, and where they are.
-2. The rows are sorted by (h, c). Anchors with an equal span (a class) have equal windows, so those are settled at once;
+2. Equal rows (h, c) of a block are combined before the shuffle: one goes on for all, the others are settled there. Then the
+   rows are sorted by (h, c). Anchors with an equal span (a class) have equal windows, so those are settled at once;
    copies of a document, however many, stop here. Anchors whose `h` stands once have no repeated window and go.
 3. What is left is one member of each class where an `h` has several classes: places where a passage begins or ends. Their
    spans are read from the texts again and compared in blocks by the operator's own method.
@@ -30,8 +31,10 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK = 1 << 18
 #: Classes of one anchor hash up to which they are compared in one block, and the units of a block.
-HOT = 1024
+HOT = 1 << 15
 BLOCK_UNITS = 400_000
+#: An anchor's row packs a, m (12 bits each) and two flags: it needs no comparison; its class has other members in its block.
+SETTLED, MORE = 1 << 24, 1 << 25
 #: Where a span starts is a long: 23 bits of the text's hash, which tell rows of equal doc_id apart, and 40 bits of position.
 POSITION_BITS = 40
 
@@ -162,9 +165,11 @@ def _mark(x: np.ndarray) -> np.ndarray:
 NO_ID = -(1 << 63)
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """doc_id, the text and its mark, which tells rows of one doc_id apart."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
+def marked(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, the text and its mark, which tells rows of one doc_id apart; and, if asked for, the whole row in `row`."""
+    cols = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")]
+    # the text isn't carried twice
+    return docs.select(*cols, *([F.struct(*(c for c in docs.columns if c != "text")).alias("row")] if carry else []))
 
 
 _ANCHORS = "h long, c long, doc_id long, at long, am int"
@@ -176,15 +181,36 @@ def _anchor_rows(kind: Kind) -> Callable:
             data, ends = common.utf8(block.column("text"))
             got = anchors(*kind.units(data, ends), kind.size, kind.k)
             if len(got["h"]):
-                mark = _mark(block.column("mark").to_numpy())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(got["h"]), pa.array(got["c"]), block.column("doc_id").take(pa.array(got["text"])), pa.array(mark[got["text"]] | got["start"]), pa.array((got["a"] << 16 | got["m"]).astype(np.int32))],
-                    names=["h", "c", "doc_id", "at", "am"],
-                )
+                doc = block.column("doc_id").to_numpy()[got["text"]]
+                at = _mark(block.column("mark").to_numpy())[got["text"]] | got["start"]
+                h, flags, keep = _combined(got["h"], got["c"], doc, at, kind.earlier)
+                am = flags | got["a"] << 12 | got["m"]
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, got["c"], doc, at, am.astype(np.int32))], names=["h", "c", "doc_id", "at", "am"])
 
     return run
 
 
+def _combined(h: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray, earlier: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Settles all but the first of equal (h, c): h of each row (settled ones are dealt anywhere), flags, and which rows stay."""
+    order = np.lexsort((at, doc, c, h))
+    hs, cs, docs, ats = h[order], c[order], doc[order], at[order]
+    same = np.zeros(len(h), bool)
+    same[1:] = (hs[1:] == hs[:-1]) & (cs[1:] == cs[:-1])
+    lead = np.flatnonzero(~same)
+    of = np.repeat(lead, np.diff(np.append(lead, len(h))))
+    twin = same & (docs == docs[of]) & (ats == ats[of])  # a repeated row of one document
+    flags = np.where(same, SETTLED, 0)
+    followed = np.zeros(len(h), bool)
+    followed[:-1] = same[1:]
+    flags[~same & followed] |= MORE
+    out_h, out_flags, keep = h.copy(), np.zeros(len(h), np.int64), np.ones(len(h), bool)
+    out_h[order] = np.where(same, common.mixed((docs + ats * 31).view(np.uint64)).view(np.int64), hs)
+    out_flags[order] = flags
+    if earlier:
+        keep[order] = ~twin
+    return out_h, out_flags, keep
+
+
 def _segment_rows(kind: Kind) -> Callable:
     """Reads the spans of open anchors from the texts: one row with the span, or for hot hashes one for each window."""
 
@@ -198,7 +224,7 @@ def _segment_rows(kind: Kind) -> Callable:
                 for x in wanted or ():
                     if x["at"] >> POSITION_BITS << POSITION_BITS != marks[i]:
                         continue
-                    start, m = firsts[i] + (x["at"] & ((1 << POSITION_BITS) - 1)), x["am"] & 0xFFFF
+                    start, m = firsts[i] + (x["at"] & ((1 << POSITION_BITS) - 1)), x["am"] & 0xFFF
                     piece = raw[start : start + m + kind.size - 1]
                     if not x["hot"]:
                         out.append((x["h"], 0, doc, x["at"], x["am"], x["several"], piece.tobytes()))
@@ -232,8 +258,8 @@ def _compared(kind: Kind, judge: Callable) -> Callable:
 
     def flush(rows: list[tuple]) -> pa.RecordBatch | None:
         group, doc, at, am, piece = ([r[i] for r in rows] for i in (0, 2, 3, 4, 6))
-        m = np.array([x & 0xFFFF for x in am], np.int64)
-        a = np.array([x >> 16 for x in am], np.int64)
+        m = np.array([x & 0xFFF for x in am], np.int64)
+        a = np.array([x >> 12 & 0xFFF for x in am], np.int64)
         lengths = m + kind.size - 1
         firsts = np.concatenate([[0], np.cumsum(lengths)])
         units = np.frombuffer(b"".join(piece), np.uint8 if kind.name == "bytes" else np.uint64)
@@ -282,7 +308,7 @@ def _compared(kind: Kind, judge: Callable) -> Callable:
                 elif held[-1][2:4] == row[2:4]:  # a repeated row of one document
                     continue
                 held.append(row)
-                units += (row[4] & 0xFFFF) + kind.size
+                units += (row[4] & 0xFFF) + kind.size
             if found:
                 yield _spans([r[2] for r in found], [r[3] for r in found], [1] * len(found))
         if held and (out := flush(held)) is not None:
@@ -291,8 +317,8 @@ def _compared(kind: Kind, judge: Callable) -> Callable:
     return run
 
 
-def repeated_spans(docs: DataFrame, kind: Kind, judge: Callable) -> tuple[DataFrame, DataFrame]:
-    """The texts by doc_id (doc_id, text, mark, settled, found), where the two arrays hold what repeats.
+def repeated_spans(docs: DataFrame, kind: Kind, judge: Callable, carry: bool = False) -> DataFrame:
+    """The texts by doc_id (doc_id, text, mark, row, settled, found), where the two arrays hold what repeats.
 
     `settled` and `found` are arrays of (at, n): n windows in a row that repeat, the first at unit `at` of the text with
     that mark. `judge(units, group, windows, owner, offset, kind)` compares one block: it gets all units of the block's
@@ -301,8 +327,8 @@ def repeated_spans(docs: DataFrame, kind: Kind, judge: Callable) -> tuple[DataFr
     """
     common.small_batches(docs.sparkSession)
     n = common.partitions(docs)
-    texts = marked(docs)
-    rows = texts.mapInArrow(_anchor_rows(kind), _ANCHORS).repartition(n, "h")
+    texts = marked(docs, carry)
+    rows = marked(docs).mapInArrow(_anchor_rows(kind), _ANCHORS).repartition(n, "h")
     in_class = Window.partitionBy("h", "c").orderBy("doc_id", "at")
     in_hash = Window.partitionBy("h")
     first = F.first(F.struct("doc_id", "at")).over(in_class)
@@ -312,12 +338,14 @@ def repeated_spans(docs: DataFrame, kind: Kind, judge: Callable) -> tuple[DataFr
         .withColumn("more", F.lead(F.lit(True), 1, False).over(in_class))
         .withColumn("classes", F.sum(F.col("first").cast("int")).over(in_hash))
     )
-    dup = F.col("later") if kind.earlier else (~F.col("first") | F.col("more"))
-    kept = judged.withColumn("dup", dup).withColumn("open", F.col("first") & (F.col("classes") > 1)).filter("dup or open")
-    table = common.stored(kept.select("doc_id", "h", "at", "am", "dup", "open", (F.col("classes") > HOT).alias("hot"), F.col("more").alias("several")), "anchors")
+    settled = F.col("am").bitwiseAND(SETTLED) != 0
+    several = F.col("more") | (F.col("am").bitwiseAND(MORE) != 0)
+    dup = settled | F.col("later") if kind.earlier else settled | ~F.col("first") | several
+    kept = judged.withColumn("dup", dup).withColumn("open", ~settled & F.col("first") & (F.col("classes") > 1)).filter("dup or open")
+    table = common.stored(kept.select("doc_id", "h", "at", "am", "dup", "open", (F.col("classes") > HOT).alias("hot"), several.alias("several")), "anchors")
     by_doc = table.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("open"), F.struct("h", "at", "am", "hot", "several"))).alias("open"),
-        F.collect_list(F.when(F.col("dup"), F.struct("at", F.col("am").bitwiseAND(0xFFFF).alias("n")))).alias("settled"),
+        F.collect_list(F.when(F.col("dup"), F.struct("at", F.col("am").bitwiseAND(0xFFF).alias("n")))).alias("settled"),
     )
     held = texts.repartition(n, "doc_id")
     open_texts = held.join(by_doc.filter(F.size("open") > 0).select("doc_id", "open"), "doc_id")

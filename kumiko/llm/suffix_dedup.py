@@ -23,6 +23,8 @@ from . import common, repeats
 
 #: Bytes of a window, and of the k-gram that anchors it.
 WINDOW, GRAM = 200, 40
+#: Bytes of a block up to which it gets a suffix array.
+LARGE_UNITS = 1_500_000
 
 
 def two_stage_suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
@@ -104,6 +106,10 @@ def adjacent_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.nda
 
 
 def _repeated(units: np.ndarray, group: np.ndarray, windows: np.ndarray, owner: np.ndarray, offset: np.ndarray, kind: repeats.Kind) -> np.ndarray:
+    if len(units) > LARGE_UNITS:  # one anchor with very many contexts: windows by hash, as an array of it wouldn't fit
+        hashed = repeats.window_hashes(repeats.bytes_as_units(units), kind.size)[windows]
+        _, where, count = np.unique(hashed, return_inverse=True, return_counts=True)
+        return count[where] > 1
     order = two_stage_suffix_array(units, kind.size)
     slot = np.full(len(units), -1, np.int64)
     slot[windows] = np.arange(len(windows))
@@ -142,6 +148,33 @@ def _reduce(size: int, with_text: bool):
     return run
 
 
+def _rewrite(size: int, columns: list[str], types: list[pa.DataType]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in common.blocks(batches):
+            data, ends = common.utf8(block.column("text"))
+            marks = repeats._mark(block.column("mark").to_numpy()).tolist()
+            texts: list[str | None] = []
+            for i, (old, settled, found) in enumerate(zip(block.column("text"), block.column("settled").to_pylist(), block.column("found").to_pylist(), strict=True)):
+                cover = repeats.covered(int(ends[i + 1] - ends[i]), marks[i], size, settled, found)
+                texts.append(kept_bytes(data[ends[i] : ends[i + 1]], cover).decode("utf-8", "ignore") if old.is_valid else None)
+            row = block.column("row")
+            new = {"text": pa.array(texts, pa.string())}
+            if "n_chars" in columns:
+                new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([(new[c] if c in new else row.field(c)).cast(t) for c, t in zip(columns, types, strict=True)], names=columns)
+
+    return run
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The rows of `docs` with all columns, their text (and n_chars, where there is one) without what repeats."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = repeats.Kind("bytes", window, gram, earlier=False)
+    spans = repeats.repeated_spans(docs, kind, _repeated, carry=True)
+    return spans.mapInArrow(_rewrite(window, docs.columns, [to_arrow_type(f.dataType) for f in docs.schema.fields]), docs.schema)
+
+
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """Removes every byte that a `window`-byte string covers which also starts elsewhere in the corpus.
 

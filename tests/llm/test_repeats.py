@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import kumiko.llm.suffix_dedup as suffix_dedup_module
 from kumiko.llm import repeats
 from kumiko.llm.rlz_dedup import factors, rlz_dedup
 from kumiko.llm.suffix_dedup import adjacent_prefixes, suffix_dedup, two_stage_suffix_array
@@ -66,7 +67,7 @@ def corpus(seed, n, words):
 SCHEMA = "doc_id long, text string, h int, at string"
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 1024), (2, 2)])
+@pytest.mark.parametrize("seed,hot", [(1, 1024), (2, 2), (3, 1)])
 def test_words(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     rows = corpus(seed, 60, 12)
@@ -75,11 +76,14 @@ def test_words(spark, monkeypatch, seed, hot):
     assert sorted(map(tuple, got), key=str) == brute_words(rows, 8)
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 1024), (2, 2)])
+@pytest.mark.parametrize("seed,hot", [(1, 1024), (2, 2), (3, 1)])
 def test_bytes(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     rows = corpus(seed, 60, 12)
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    if seed == 3:
+        monkeypatch.setattr(suffix_dedup_module, "LARGE_UNITS", 0)
+        monkeypatch.setattr(repeats, "HOT", 1024)
     got = suffix_dedup(df, window=30, gram=10).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == brute_bytes(rows, 30)
 
