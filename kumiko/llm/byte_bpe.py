@@ -64,7 +64,10 @@ def _bucket(key: Column, n: int) -> Column:
 
 
 class LiteralMap:
-    """A map of strings as a literal in the plan, found by hash: an array of `n` small maps."""
+    """A map of strings as a literal in the plan, found by hash: an array of `n` small maps.
+
+    The literal is large, so an expression holds it once: `bind` it to a variable and look keys up there.
+    """
 
     def __init__(self, spark: SparkSession, entries: list[tuple[str, object]], kind: str):
         self.n = 1 << max(4, len(entries).bit_length())
@@ -74,8 +77,9 @@ class LiteralMap:
             buckets[b - 1][k] = v
         self.literal = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))), f"array<map<string,{kind}>>")
 
-    def get(self, key: Column) -> Column:
-        return F.try_element_at(F.get(self.literal, _bucket(key, self.n) - 1), key)
+    def get(self, table: Column, key: Column) -> Column:
+        """The value of a key in `table`, which is this map's literal or a variable bound to it."""
+        return F.try_element_at(F.get(table, _bucket(key, self.n) - 1), key)
 
 
 def _bound(value: Column, body) -> Column:
@@ -87,9 +91,9 @@ def latin(word: Column) -> Column:
     return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
 
-def fold_word(word: Column, ranks: LiteralMap) -> Column:
-    """The pieces (ISO-8859-1 strings) that the ranked merges leave of an ISO-8859-1 word."""
-    rank = lambda key: F.coalesce(ranks.get(key), F.lit(NO_RANK))
+def fold_word(word: Column, found) -> Column:
+    """The pieces (ISO-8859-1 strings) that the ranked merges leave of an ISO-8859-1 word; found(piece): its rank or null."""
+    rank = lambda key: F.coalesce(found(key), F.lit(NO_RANK))
     none = F.array().cast("array<int>")
 
     def merge(state: Column, _: Column) -> Column:
@@ -117,7 +121,7 @@ def fold_word(word: Column, ranks: LiteralMap) -> Column:
 
     chars = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
     # a word that is a piece itself stays whole
-    return F.when(ranks.get(word).isNotNull(), F.array(word)).otherwise(_bound(chars, folded))
+    return F.when(found(word).isNotNull(), F.array(word)).otherwise(_bound(chars, folded))
 
 
 def little_endian_hex(number: Column) -> Column:
@@ -144,16 +148,21 @@ class ByteBPE:
         """The bytes of an array of ids: their pieces, concatenated."""
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
 
-    def encoded(self, word: Column) -> Column:
+    def _env(self, known: LiteralMap | None = None) -> Column:
+        """All literals as one struct: ranks r, pieces p and folded words k."""
+        return F.struct(self.ranks.literal.alias("r"), self.pieces.alias("p"), *([known.literal.alias("k")] if known else []))
+
+    def encoded(self, word: Column, env: Column) -> Column:
         """struct(i, d) of a word: its ids as little-endian hex, and what these ids decode to, as hex."""
 
         def out(ids: Column) -> Column:
             return F.struct(
                 F.array_join(F.transform(ids, little_endian_hex), "").alias("i"),
-                F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), "").alias("d"),
+                F.array_join(F.transform(ids, lambda i: F.get(env["p"], i)), "").alias("d"),
             )
 
-        return _bound(F.transform(fold_word(latin(word), self.ranks), self.ranks.get), out)
+        rank = lambda piece: self.ranks.get(env["r"], piece)
+        return _bound(F.transform(_bound(latin(word), lambda w: fold_word(w, rank)), rank), out)
 
     def frequent(self, docs: DataFrame, n_docs: int = SAMPLE_DOCUMENTS, n_words: int = FREQUENT_WORDS) -> LiteralMap:
         """The most frequent words of about `n_docs` documents, folded. It only saves time: other words are folded in place."""
@@ -161,14 +170,22 @@ class ByteBPE:
         share = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, n_docs / max(1, total)))
         words = docs.filter(share).select(F.explode(self.words(F.col("text"))).alias("w")).groupBy("w").count().filter("count > 1")
         top = words.orderBy(F.desc("count"), "w").limit(n_words)
-        rows = top.select("w").repartition(docs.sparkSession.sparkContext.defaultParallelism).select("w", self.encoded(F.col("w")).alias("e")).collect()
+        rows = top.select("w").repartition(docs.sparkSession.sparkContext.defaultParallelism).select("w", _bound(self._env(), lambda env: self.encoded(F.col("w"), env)).alias("e")).collect()
         return LiteralMap(docs.sparkSession, [(r["w"], {"i": r["e"]["i"], "d": r["e"]["d"]}) for r in rows], "struct<i:string,d:string>")
 
     def encode(self, docs: DataFrame) -> DataFrame:
         """doc_id, ids (little-endian unsigned 32-bit integers as binary) and decoded (binary) of each row's text."""
         known = self.frequent(docs)
-        hits = docs.select("doc_id", F.transform(self.words(F.col("text")), lambda w: F.struct(w.alias("w"), known.get(w).alias("e"))).alias("hits"))
-        rare = hits.withColumn("rare", F.array_distinct(F.transform(F.filter("hits", lambda h: h["e"].isNull()), lambda h: h["w"])))
-        folded = rare.withColumn("folded", F.map_from_arrays("rare", F.transform("rare", self.encoded)))
-        done = folded.select("doc_id", F.transform("hits", lambda h: F.coalesce(h["e"], F.try_element_at(F.col("folded"), h["w"]))).alias("e"))
+
+        def text(env: Column) -> Column:
+            hits = F.transform(self.words(F.col("text")), lambda w: F.struct(w.alias("w"), known.get(env["k"], w).alias("e")))
+
+            def folded(hits: Column) -> Column:
+                rare = F.array_distinct(F.transform(F.filter(hits, lambda h: h["e"].isNull()), lambda h: h["w"]))
+                table = _bound(rare, lambda rare: F.map_from_arrays(rare, F.transform(rare, lambda w: self.encoded(w, env))))
+                return _bound(table, lambda t: F.transform(hits, lambda h: F.coalesce(h["e"], F.try_element_at(t, h["w"]))))
+
+            return _bound(hits, folded)
+
+        done = docs.select("doc_id", _bound(self._env(known), text).alias("e"))
         return done.select("doc_id", F.unhex(F.array_join(F.col("e.i"), "")).alias("ids"), F.unhex(F.array_join(F.col("e.d"), "")).alias("decoded"))
