@@ -31,8 +31,8 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK = 1 << 18
 #: Classes of one anchor hash up to which they are compared in one block, and the units of a block.
-HOT = 1 << 15
-BLOCK_UNITS = 400_000
+HOT = 1 << 13
+BLOCK_UNITS = 200_000
 #: An anchor's row packs a, m (12 bits each) and two flags: it needs no comparison; its class has other members in its block.
 SETTLED, MORE = 1 << 24, 1 << 25
 #: Where a span starts is a long: 23 bits of the text's hash, which tell rows of equal doc_id apart, and 40 bits of position.

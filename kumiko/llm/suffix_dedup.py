@@ -24,7 +24,7 @@ from . import common, repeats
 #: Bytes of a window, and of the k-gram that anchors it.
 WINDOW, GRAM = 200, 40
 #: Bytes of a block up to which it gets a suffix array.
-LARGE_UNITS = 1_500_000
+LARGE_UNITS = 600_000
 
 
 def two_stage_suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
