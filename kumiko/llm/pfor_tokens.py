@@ -5,9 +5,9 @@ order. A file is: a magic number, blocks, the index of block starts, the documen
 `BLOCK` ids: their minimum is subtracted, and the differences are packed at the width that PERCENTILE of them need; larger
 ones go, whole, to the block's exception list. Any block can be read on its own by way of the index.
 
-Texts are split at single spaces for speed: the byte-level pattern never joins what such a space parts, so ids of the pieces
-are those of the whole text; each distinct piece goes through the tokenizer once while it stays in a worker's cache. Texts
-in which this doesn't hold (white space at a piece's edge, characters above U+024F) go through the tokenizer whole.
+Texts are split for speed before single spaces and around line feeds: the byte-level pattern never joins what these part, so
+ids of the pieces are those of the whole text. Each distinct piece goes through the tokenizer once while it stays in a worker's
+cache. Texts in which this doesn't hold (other or repeated white space, characters above U+024F) go through it whole.
 
 Files are written under a name of their own for each attempt and moved to the final name, so a task may run again.
 
@@ -22,6 +22,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -184,12 +185,17 @@ class Reader:
             yield doc, a, held[a - base : b - base]
 
 
-_BEYOND = re.compile("[^\x00-ɏ]")
-_EDGES = re.compile(r"^\s|\s$|\s | \s")
+#: Texts with other characters go whole: white space other than space and line feed, controls, all above U+024F.
+_ODD = re.compile("[^\x20-\x7e\n\xa1-\u024f]")
+
+
+def _regular(text: str) -> bool:
+    """Whether white space is single spaces and line feeds between other characters."""
+    return not (text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _ODD.search(text))
 
 
 class Tokens:
-    """Ids of texts by the tokenizers library, through a cache of pieces between spaces."""
+    """Ids of texts by the tokenizers library, through a cache of pieces that pre-tokenization never joins."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -197,30 +203,46 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes new pieces as lines of one text; the line feed is a token of its own between them."""
+        for lo in range(0, len(pieces), 20_000):
+            part = pieces[lo : lo + 20_000]
+            (ids,) = self._encode(["\n".join(part)])
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+            raw, begin = ids.tobytes(), 0
+            for piece, end in zip(part, ends.tolist(), strict=True):
+                self.cache[piece] = raw[begin * 4 : end * 4]
+                begin = end + 1
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t and ((not t.isascii() and _BEYOND.search(t)) or _EDGES.search(t))]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        skip = set(whole)
         pieces: dict[int, list[str]] = {}
+        whole = []
         for i, t in enumerate(texts):
-            if t and i not in skip:
-                # each piece but the first keeps the space before it
-                pieces[i] = t.replace(" ", "\0 ").split("\0") if "\0" not in t else [p if j == 0 else " " + p for j, p in enumerate(t.split(" "))]
+            if not t:
+                continue
+            if not _regular(t):
+                whole.append(i)
+                continue
+            # each piece keeps the space before it, and a line feed is a piece
+            pieces[i] = t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+            out[i] = ids.tobytes()
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
-        missing = {p for ps in pieces.values() for p in ps if p not in cache}
-        if missing:
-            new = list(missing)
-            cache.update(zip(new, self._encode(new), strict=True))
+        cache["\n"] = np.array([self.line], "<u4").tobytes()
+        cache[""] = b""
+        new = set(chain.from_iterable(pieces.values())).difference(cache)
+        if new:
+            self._learn(list(new))
         for i, ps in pieces.items():
-            out[i] = b"".join([cache[p] for p in ps])
+            out[i] = b"".join(map(cache.__getitem__, ps))
         return out
 
 
