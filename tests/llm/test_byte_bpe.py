@@ -32,6 +32,7 @@ def test_equals_library(spark, bpe, library):
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int, e string")
     got = {r["doc_id"]: r for r in bpe.encode(df).collect()}
     assert len(got) == len(rows)
+    assert {r["doc_id"]: r for r in byte_bpe.encode_texts(df, path("byte_bpe_50k.tiktoken"), PATTERN).collect()} == got
     for i, t, *_ in rows:
         want = library.encode_ordinary(t or "")
         assert got[i]["ids"] == struct.pack(f"<{len(want)}I", *want), t
@@ -53,4 +54,6 @@ def test_decode(spark, bpe, library):
 
 
 def test_empty(spark, bpe):
-    assert bpe.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe.encode(none).count() == 0
+    assert byte_bpe.encode_texts(none, path("byte_bpe_50k.tiktoken"), PATTERN).count() == 0
