@@ -1,0 +1 @@
+"""The engine is batch only; its order-dependent operators (kumiko.operators.sequence) take bounded tables."""
