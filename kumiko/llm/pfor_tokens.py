@@ -17,6 +17,7 @@ doc_id comes first. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -37,7 +38,7 @@ PERCENTILE = 90
 #: Blocks that are packed or unpacked in one step.
 STEP = 2048
 #: Pieces of text whose ids a worker remembers at most.
-CACHE = 1 << 19
+CACHE = 700_000
 _HEAD = struct.Struct("<IHBBH")  # minimum, ids, width, spare, exceptions
 _FOOT = struct.Struct("<QQQQ8s")  # place of the index, blocks, documents, ids
 
@@ -194,6 +195,13 @@ def _regular(text: str) -> bool:
     return not (text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _ODD.search(text))
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The printable characters that byte-level models spell bytes with; the line feed stays, to part words."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden) if b != 10}
+
+
 class Tokens:
     """Ids of texts by the tokenizers library, through a cache of pieces that pre-tokenization never joins."""
 
@@ -204,12 +212,34 @@ class Tokens:
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        # the same model without pre-tokenization, for words that are one pre-token and come in the model's own alphabet
+        with open(path) as f:
+            parts = json.load(f)
+        parts |= {"pre_tokenizer": None, "post_processor": None, "decoder": None, "normalizer": None, "added_tokens": []}
+        vocabulary = parts["model"]["vocab"]
+        self.words = Tokenizer.from_str(json.dumps(parts))
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.alphabet = _byte_alphabet()
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces as lines of one text; the line feed is a token of its own between them."""
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters (with a space before them): a list of pre-tokens, cut again by the bytes that the ids stand for."""
+        for lo in range(0, len(words), 20_000):
+            part = words[lo : lo + 20_000]
+            spelled = "\n".join(part).encode().decode("latin-1").translate(self.alphabet).split("\n")
+            (found,) = self.words.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(list(map(len, spelled)))) + 1
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(part, (ends * 4).tolist(), strict=True):
+                self.cache[word] = raw[begin:end]
+                begin = end
+
+    def _learn_lines(self, pieces: list[str]) -> None:
+        """Other pieces, as lines of one text; the line feed is a token of its own between them."""
         for lo in range(0, len(pieces), 20_000):
             part = pieces[lo : lo + 20_000]
             (ids,) = self._encode(["\n".join(part)])
@@ -219,6 +249,25 @@ class Tokens:
                 self.cache[piece] = raw[begin * 4 : end * 4]
                 begin = end + 1
 
+    def _learn(self, pieces: list[str]) -> None:
+        cache, words, lines, ending = self.cache, [], set(), []
+        for piece in pieces:
+            word = piece.rstrip(".,")
+            if not (word.isalpha() or word[1:].isalpha() and word[0] == " "):
+                lines.add(piece)
+                continue
+            if word not in cache:
+                words.append(word)
+            if word != piece:  # marks after letters are a pre-token of their own
+                tail = piece[len(word) :]
+                ending.append((piece, word, tail))
+                if tail not in cache:
+                    lines.add(tail)
+        self._learn_words(list(set(words)))
+        self._learn_lines(list(lines))
+        for piece, word, tail in ending:
+            cache[piece] = cache[word] + cache[tail]
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         pieces: dict[int, list[str]] = {}
@@ -238,11 +287,17 @@ class Tokens:
             cache.clear()
         cache["\n"] = np.array([self.line], "<u4").tobytes()
         cache[""] = b""
-        new = set(chain.from_iterable(pieces.values())).difference(cache)
-        if new:
-            self._learn(list(new))
+        flat = list(chain.from_iterable(pieces.values()))
+        found = list(map(cache.get, flat))
+        gaps = [k for k, x in enumerate(found) if x is None]
+        if gaps:
+            self._learn(list({flat[k] for k in gaps}))
+            for k in gaps:
+                found[k] = cache[flat[k]]
+        at = 0
         for i, ps in pieces.items():
-            out[i] = b"".join(map(cache.__getitem__, ps))
+            out[i] = b"".join(found[at : at + len(ps)])
+            at += len(ps)
         return out
 
 

@@ -42,7 +42,7 @@ def test_file(monkeypatch):
 
 def test_query(spark):
     r = random.Random(2)
-    texts = ["", None, " lead", "trail ", "a  b", "a \n b", "\n\nx\n", "nul\0 byte x", "日本 語 x", "it's don't ' s", "x" * 500, "ok words here.\nNext line", "<|endoftext|> x", "a.b,c 3.5 x._y !. .a ,b don't.\nNo, yes.", "Foo. Bar, baz.\nQux", "a\n\nb", "\n", ".", "a\n", "it's, ok."]
+    texts = ["", None, " lead", "trail ", "a  b", "a \n b", "\n\nx\n", "nul\0 byte x", "日本 語 x", "it's don't ' s", "x" * 500, "ok words here.\nNext line", "<|endoftext|> x", "a.b,c 3.5 x._y !. .a ,b don't.\nNo, yes.", "Foo. Bar, baz.\nQux", "a\n\nb", "\n", ".", "a\n", "it's, ok.", "Straße,. über.. naïve éa,b.c ok., x", "ªº ǅ ʰ, aͅ", "a , b . c", ". , .", "²x. x²., ½"]
     texts += ["".join(r.choice(["the", "er", " ", " ", "\n", "é", "7", "!", "'s", "Ö"]) for _ in range(80)) for _ in range(60)]
     ids = list(range(len(texts)))
     r.shuffle(ids)
