@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common, decontaminate, golay_simhash, language_id, pfor_tokens, rlz_dedup, shards, suffix_dedup, tiff, toxicity
+from . import byte_bpe, common, decontaminate, golay_simhash, language_id, oracles, pfor_tokens, rlz_dedup, shards, suffix_dedup, tiff, toxicity
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_tiff": op10_tiff,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_rlz_dedup": oracles.RLZ, "op5_suffix_dedup": oracles.SUFFIX, "op7_decontaminate": oracles.DECONTAMINATE}
