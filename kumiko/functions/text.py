@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Full-width digits, circled digits, range marks.
 WIDE_DIGITS = "０１２３４５６７８９"
@@ -32,7 +33,7 @@ def wide_digits(x: Column) -> Column:
     return F.translate(x, "0123456789", WIDE_DIGITS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     """NFKC, which Spark has no function for; meant for building key columns once, not for queries."""
     return x.str.normalize("NFKC")

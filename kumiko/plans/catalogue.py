@@ -33,12 +33,12 @@ def query(sql: str):
 
 
 L = lambda c: F.col(c).cast("long").alias(c)
-n_rows = F.count("*").alias("n")
+n_rows = lambda: F.count("*").alias("n")
 
 
 @query("SELECT strftime(o_orderdate, '%Y%m') AS version, count(*) AS n FROM orders GROUP BY 1")
 def q01_catalog_versions(t):
-    return t.orders.groupBy(F.date_format("o_orderdate", "yyyyMM").alias("version")).agg(n_rows)
+    return t.orders.groupBy(F.date_format("o_orderdate", "yyyyMM").alias("version")).agg(n_rows())
 
 
 @query("SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y%m') AS version FROM orders WHERE strftime(o_orderdate, '%Y%m') = (SELECT max(strftime(o_orderdate, '%Y%m')) FROM orders)")
@@ -48,7 +48,7 @@ def q02_latest_snapshot(t):
 
 @query("SELECT p_brand || CASE WHEN coalesce(p_type, '') = '' THEN '' ELSE ' / ' || p_type END AS title, count(*) AS n FROM part GROUP BY 1")
 def q03_listing(t):
-    return t.part.groupBy(lookup.listing(t.part, "p_brand", "p_type").alias("title")).agg(n_rows)
+    return t.part.groupBy(lookup.listing(t.part, "p_brand", "p_type").alias("title")).agg(n_rows())
 
 
 @query("SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS has_lines FROM orders")
@@ -354,7 +354,7 @@ def q42_split_lines_count(t):
 def q43_lineage_counts(t):
     docs = t.documents.select("doc_id", "source")
     parts = [("label", docs.join(t.labels, "doc_id", "left_semi")), ("source", docs.filter("source = 'src0'")), ("default", docs)]
-    return versioning.by_priority(parts, ["doc_id"], []).groupBy("lineage").agg(n_rows)
+    return versioning.by_priority(parts, ["doc_id"], []).groupBy("lineage").agg(n_rows())
 
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -389,7 +389,7 @@ _ALL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in _ALL))
 def q49_catalog_info(t):
-    return search.search([getattr(t, n).agg(n_rows).select(F.lit(n).alias("name"), "n") for n in _ALL])
+    return search.search([getattr(t, n).agg(n_rows()).select(F.lit(n).alias("name"), "n") for n in _ALL])
 
 
 @query("SELECT conv_id, turn, role = 'assistant' AND coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn) <> 'assistant', false) AS parent FROM conversations")
@@ -465,7 +465,7 @@ def q60_first_marker_after(t):
 
 @query("SELECT event_type, n FROM (SELECT event_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type) AS k FROM events GROUP BY 1) WHERE k <= 2")
 def q61_occupancy_topn(t):
-    return t.events.groupBy("event_type").agg(n_rows).orderBy(F.desc("n"), "event_type").limit(2)
+    return t.events.groupBy("event_type").agg(n_rows()).orderBy(F.desc("n"), "event_type").limit(2)
 
 
 @query(f"""WITH p AS (SELECT page_id, {_PATH} AS c FROM pages), i AS (SELECT *, list_position(list_transform(c, lambda x: regexp_matches(x, '^[0-9]+$')), true) AS k FROM p),
