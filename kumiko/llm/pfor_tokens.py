@@ -21,7 +21,6 @@ import json
 import re
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 from itertools import chain
 

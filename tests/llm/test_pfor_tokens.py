@@ -8,8 +8,8 @@ import pytest
 from public_tokenizers import path
 from tokenizers import Tokenizer
 
-from kumiko.llm import common, pfor_tokens
-from kumiko.llm.queries import QUERIES, packed_tokens
+from kumiko.llm import pfor_tokens
+from kumiko.llm.queries import packed_tokens
 
 
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000])
