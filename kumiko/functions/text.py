@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from pyspark.sql.types import StringType
 
 #: Full-width digits, circled digits, range marks.
 WIDE_DIGITS = "０１２３４５６７８９"
-CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩"
+CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"
 TILDES = "～〜~-"
 
 
@@ -91,10 +89,9 @@ def joined_modes(lines: Column, suffix: str = "カナ") -> Column:
 
 
 def range_of(x: Column) -> Column:
-    """struct(lo, hi) of `N~M` with 0 < N <= M, else null."""
-    text = half_digits(squash_space(x))
-    pattern = rf"^(\d+)[{TILDES}](\d+)$"
-    lo, hi = (F.regexp_extract(text, pattern, i).try_cast("int") for i in (1, 2))
+    """struct(lo, hi) of the first `N~M` in a text with 0 < N <= M, else null."""
+    pattern = rf"(?U)(\d+)\s*[{TILDES}]\s*(\d+)"
+    lo, hi = (F.regexp_extract(half_digits(x), pattern, i).try_cast("int") for i in (1, 2))
     return F.when((lo > 0) & (lo <= hi), F.struct(lo.alias("lo"), hi.alias("hi")))
 
 
@@ -104,7 +101,7 @@ def _circled_number(c: Column) -> Column:
 
 def _label_ends(x: Column) -> tuple[Column, Column, Column, Column]:
     text = half_digits(x)
-    circled, plain = rf"([{CIRCLED}])[{TILDES}]([{CIRCLED}])", rf"(\d+)[{TILDES}](\d+)"
+    circled, plain = rf"(?U)([{CIRCLED}])\s*[{TILDES}]\s*([{CIRCLED}])", rf"(?U)(\d+)\s*[{TILDES}]\s*(\d+)"
     return (
         _circled_number(F.regexp_extract(text, circled, 1)),
         _circled_number(F.regexp_extract(text, circled, 2)),
@@ -116,8 +113,8 @@ def _label_ends(x: Column) -> tuple[Column, Column, Column, Column]:
 def label_count(x: Column) -> Column:
     """How many labels a notation like ①～⑩ or 1～10 stands for; 0 if it has none."""
     c1, c2, p1, p2 = _label_ends(x)
-    lo, hi = F.coalesce(c1, p1), F.when(c1.isNotNull(), c2).otherwise(p2)
-    return F.when((lo > 0) & (lo <= hi), hi - lo + 1).otherwise(F.lit(0))
+    plain = F.when(p1 < p2, p2 - p1 + 1)
+    return F.coalesce(F.when(c1.isNotNull(), F.greatest(c2 - c1 + 1, F.lit(0))).otherwise(plain), F.lit(0))
 
 
 def group_labels(x: Column, expected: Column) -> Column:
@@ -125,12 +122,12 @@ def group_labels(x: Column, expected: Column) -> Column:
     c1, c2, p1, p2 = _label_ends(x)
     none = F.array().cast("array<string>")
     circled = F.when((c1 <= c2) & (c2 - c1 + 1 == expected), F.transform(F.sequence(c1, F.greatest(c1, c2)), lambda i: F.substr(F.lit(CIRCLED), i, F.lit(1)))).otherwise(none)
-    plain = F.when((p1 > 0) & (p1 <= p2) & (p2 - p1 + 1 == expected), F.transform(F.sequence(p1, F.greatest(p1, p2)), lambda i: i.cast("string"))).otherwise(none)
+    plain = F.when((p1 < p2) & (p2 - p1 + 1 == expected), F.transform(F.sequence(p1, F.greatest(p1, p2)), lambda i: i.cast("string"))).otherwise(none)
     return F.when(c1.isNotNull() & c2.isNotNull(), circled).otherwise(plain)
 
 
 def without_labels(x: Column) -> Column:
-    return strip_u(F.regexp_replace(F.regexp_replace(x, rf"[{CIRCLED}][{TILDES}][{CIRCLED}]", ""), rf"[0-9０-９]+[{TILDES}][0-9０-９]+", ""))
+    return strip_u(F.regexp_replace(F.regexp_replace(x, rf"(?U)[{CIRCLED}]\s*[{TILDES}]\s*[{CIRCLED}]", ""), rf"(?U)[0-9０-９]+\s*[{TILDES}]\s*[0-9０-９]+", ""))
 
 
 def pick_or_last(items: Column, i: Column) -> Column:
@@ -187,11 +184,18 @@ def safe_cell(cells: Column, i: Column | int) -> Column:
     return F.coalesce(strip_u(F.get(cells, F.lit(i) if isinstance(i, int) else i)), F.lit(""))
 
 
-#: Codes are one to three letters or digits before a colon, in either width.
-CODE_LINE = re.compile("^([0-9A-Za-z０-９Ａ-Ｚａ-ｚ]{1,3})[:：](.*)$")
-#: Ends of sentences, and the beginnings of lines that explain instead of going on with a name.
+#: Codes are one to three letters or digits before a colon, in either width; a name follows.
+CODE_LINE = r"(?U)^([0-9A-Za-z０-９Ａ-Ｚａ-ｚ]{1,3})[:：]\s*(\S.*)$"
+WIDE_LETTERS = "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ"
+NARROW_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+#: Ends of sentences, and (as patterns) the beginnings of lines that explain instead of going on with a name.
 SENTENCE_ENDS = ("。", "．")
-EXPLANATIONS = ("※", "（注", "(注", "注）", "なお", "ただし", "また、", "例")
+EXPLANATIONS = (
+    "[「『（(＜<※]", "なお", "また", "ただし", "ただ", "その", "さらに", "そして", "つまり", "したがって", "これらの",
+    r"注\s", "注[0-9０-９]", "項番", "漢字[:：]", "半角", "全角", "該当", "対象", "コメント", "点数", "金額", "詳細",
+    r"例\s", "例[0-9０-９]", "未使用", "使用しない", "設定", "算定", "以下の", "以上の", "任意",
+    "参照", "参考", "備考", "出力", "入力", "記載", "記録", "返戻",
+)
 LONGEST_NAME = 80
 
 
@@ -205,13 +209,13 @@ def code_lines(text: Column) -> Column:
     head = F.regexp_extract
 
     def step(state: Column, line: Column) -> Column:
-        code, rest = head(line, CODE_LINE.pattern, 1), strip_u(head(line, CODE_LINE.pattern, 2))
+        code, rest = head(line, CODE_LINE, 1), head(line, CODE_LINE, 2)
         out = state["out"]
         last = F.try_element_at(out, F.lit(-1))
-        stop = (line == "") | F.coalesce(last["name"].rlike("[" + "".join(SENTENCE_ENDS) + "]$"), F.lit(False)) | line.rlike("^(" + "|".join(re.escape(e) for e in EXPLANATIONS) + ")") | (F.coalesce(F.length(last["name"]), F.lit(0)) >= LONGEST_NAME)
+        stop = (line == "") | F.coalesce(last["name"].rlike("[" + "".join(SENTENCE_ENDS) + "]$"), F.lit(False)) | line.rlike("(?U)^(" + "|".join(EXPLANATIONS) + ")") | (F.coalesce(F.length(last["name"]), F.lit(0)) >= LONGEST_NAME)
         longer = F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(last["code"].alias("code"), F.concat(last["name"], line).alias("name"))))
         return (
-            F.when(code != "", F.struct(F.lit(True).alias("open"), F.concat(out, F.array(F.struct(half_digits(code).alias("code"), rest.alias("name")))).alias("out")))
+            F.when(code != "", F.struct(F.lit(True).alias("open"), F.concat(out, F.array(F.struct(half_digits(F.translate(code, WIDE_LETTERS, NARROW_LETTERS)).alias("code"), rest.alias("name")))).alias("out")))
             .when(~state["open"], state)
             .when(stop, F.struct(F.lit(False).alias("open"), out.alias("out")))
             .otherwise(F.struct(F.lit(True).alias("open"), longer.alias("out")))

@@ -295,7 +295,7 @@ k AS (SELECT *, regexp_matches(line, '^[0-9A-Za-z]{1,3}[:：]') AS code FROM s),
 g AS (SELECT *, sum(CASE WHEN code THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS grp FROM k),
 p AS (SELECT *, CASE WHEN code THEN regexp_extract(line, '^([0-9A-Za-z]{1,3})[:：]', 1) END AS c, CASE WHEN code THEN regexp_replace(regexp_replace(line, '^[0-9A-Za-z]{1,3}[:：]', ''), '^\s+|\s+$', '', 'g') ELSE line END AS part FROM g WHERE grp > 0),
 n AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY doc_id, grp ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, lag(part) OVER (PARTITION BY doc_id, grp ORDER BY pos) AS prev FROM p),
-z AS (SELECT *, max(CASE WHEN NOT code AND (line = '' OR before >= 80 OR regexp_matches(prev, '[。．]$') OR regexp_matches(line, '^(※|（注|\(注|注）|なお|ただし|また、|例)')) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, grp ORDER BY pos ROWS UNBOUNDED PRECEDING) AS ended FROM n)
+z AS (SELECT *, max(CASE WHEN NOT code AND (line = '' OR before >= 80 OR regexp_matches(prev, '[。．]$') OR regexp_matches(line, '^([「『（(＜<※]|なお|また|ただし|ただ|その|さらに|そして|つまり|したがって|これらの|注\s|注[0-9０-９]|項番|漢字[:：]|半角|全角|該当|対象|コメント|点数|金額|詳細|例\s|例[0-9０-９]|未使用|使用しない|設定|算定|以下の|以上の|任意|参照|参考|備考|出力|入力|記載|記録|返戻)')) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, grp ORDER BY pos ROWS UNBOUNDED PRECEDING) AS ended FROM n)
 SELECT doc_id, max(c) AS code, string_agg(part, '' ORDER BY pos) AS name FROM z WHERE ended = 0 GROUP BY doc_id, grp""")
 def q36_code_lines_terminators(t):
     text = F.concat(F.lit("1:first\n2:second\n"), "text")

@@ -18,7 +18,7 @@ def one(spark):
         (T.strip_u, "　a b　", "a b"), (T.squash_space, "a　 b\n", "ab"), (T.half_digits, "１2３", "123"), (T.code_key, " ｱ１ ", "ア1"),
         (T.leading_int, "１２ 項", 12), (T.leading_int, "項", None), (T.without_labels, "名①～③", "名"), (T.first_line, "\n \n a \nb", "a"),
         (T.mode_of, "数字", "numeric"), (T.mode_of, "other", "other"), (T.mode_of, "", None),
-        (T.kind_from_file, "master_2_20260501.pdf", "appendix"), (T.version_from_file, "x.pdf", "unknown"), (T.label_count, "①～⑤", 5), (T.label_count, "1〜10", 10), (T.label_count, "x", 0),
+        (T.kind_from_file, "master_2_20260501.pdf", "appendix"), (T.version_from_file, "x.pdf", "unknown"), (T.label_count, "①～⑤", 5), (T.label_count, "1〜10", 10), (T.label_count, "⑨ ～ ⑫", 4), (T.label_count, "3～3", 0), (T.label_count, "x", 0),
     ],
 )
 def test_scalars(one, f, given, want):
@@ -27,7 +27,7 @@ def test_scalars(one, f, given, want):
 
 def test_ranges_labels_sizes(one):
     assert tuple(one(T.range_of(F.lit("１０～17")))) == (10, 17)
-    assert one(T.range_of(F.lit("17～10"))) is None and one(T.range_of(F.lit("0～3"))) is None
+    assert one(T.range_of(F.lit("72\n～\n81")))[1] == 81 and one(T.range_of(F.lit("17～10"))) is None and one(T.range_of(F.lit("0～3"))) is None
     assert one(T.group_labels(F.lit("②～④"), F.lit(3))) == ["②", "③", "④"]
     assert one(T.group_labels(F.lit("①～③ 1～2"), F.lit(2))) == []  # circled ones decide
     assert tuple(one(T.byte_size(F.lit("（１２）")))) == (12, True, None) and tuple(one(T.byte_size(F.lit("可変")))) == (None, False, "可変")
@@ -49,6 +49,7 @@ def test_snippet_and_keyword(one):
         ("1:a\n2:b", [("1", "a"), ("2", "b")]),
         ("1:a", []),
         ("１：a\n続き\n\nlost\n2:b。\nlost", [("1", "a続き"), ("2", "b。")]),
+        ("Ａ1： a\n2:\n注意\n3：b\n例1", [("A1", "a2:注意"), ("3", "b")]),
         ("1:a\n※ note\n2:b", [("1", "a"), ("2", "b")]),
         ("1:" + "n" * 80 + "\nlost\n2:b", [("1", "n" * 80), ("2", "b")]),
     ],
