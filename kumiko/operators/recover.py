@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 from . import layout, records
 from .pages import recoverable
 from .versioning import replace_recovered
@@ -85,21 +86,23 @@ def extract_fields(raw: DataFrame, lines: DataFrame) -> DataFrame:
     """All fields of sections (records.FIELD), numbered by field_pos in order of seq, those of tables first.
 
     raw: section, pos and records.RAW, flags. lines: section, line_no, line. Recovered ranges replace all fields of their
-    numbers; single rows of the layout replace fields without a name only.
+    numbers; single rows of the layout replace fields without a name only. What several steps read is checkpointed: it is made
+    once, outlives executors, and keeps the plans of later steps small.
     """
-    fields = records.normalized(raw.withColumn("pos", F.col("pos").cast("long")))
-    bad = defects(fields)
-    ranges = recoverable(layout.seq_ranges(lines), bad)
+    fields = cut(records.normalized(raw.withColumn("pos", F.col("pos").cast("long"))))
+    bad = cut(defects(fields))
+    ranges = cut(recoverable(layout.seq_ranges(lines), bad))
     first, left = from_orphans(ranges, raw)
-    second, left = from_definitions(left, layout.sub_definitions(lines, left))
-    ranged = first.unionByName(second).unionByName(from_template(left, fields))
+    left = cut(left)
+    second, rest = from_definitions(left, cut(layout.sub_definitions(lines, left)))
+    ranged = cut(first.unionByName(second).unionByName(from_template(cut(rest), fields)))
     fields = replace_recovered(fields, ranged, ["section", "seq"])
     still = bad.join(ranged.select("section", "seq"), ["section", "seq"], "left_anti")
-    found = layout.text_records(lines).join(still, ["section", "seq"], "left_semi")
-    single = records.as_fields(
+    found = cut(layout.text_records(lines)).join(still, ["section", "seq"], "left_semi")
+    single = cut(records.as_fields(
         found.select("section", F.struct(F.col("line_no").cast("long").alias("pos"), F.lit(0).alias("i")).alias("field_pos"), "seq", "name", F.lit("").alias("sub_name"), "mode_raw", "max_bytes_raw", "item_format_raw", "content", F.map_from_arrays(F.array(), F.array()).cast(records.FLAGS).alias("flags")),
         "text",
-    )
+    ))
     fields = replace_recovered(fields, single, ["section", "seq"], F.col("name") == "")
     tier = F.when(F.col("lineage") == "table", 0).when(F.col("lineage") == "text", 2).otherwise(1)
     w = Window.partitionBy("section").orderBy("seq", tier, "field_pos")
