@@ -1,7 +1,8 @@
 """A training-data pipeline over `documents`: five operators of kumiko.llm, each over all that the one before has kept.
 
 toxicity      documents that the classifier chain calls toxic go
-near_dedup    of each group of near duplicates (SimHash, three bits) the document of the smallest doc_id stays
+near_dedup    of each group of near duplicates (five-word shingles 0.8 alike, or SimHash within three bits) the document of the
+              smallest doc_id stays
 suffix_dedup  text that repeats over 200 bytes goes, wherever it stands; documents stay, shorter
 decontaminate documents that share a window of ten words with a benchmark item go
 encode        each text becomes byte-level BPE ids
@@ -16,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kumiko.llm import byte_bpe, common, decontaminate, golay_simhash, suffix_dedup, toxicity
+from kumiko.llm import byte_bpe, common, decontaminate, near_copies, suffix_dedup, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return golay_simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
