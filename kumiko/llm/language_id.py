@@ -10,9 +10,9 @@ calibrated on documents that the counts haven't seen: a logistic curve of the ma
 `rejected` where that probability is below REJECT or its cross-entropy above what the calibration texts of its language have
 shown (their largest, and MARGIN more).
 
-Models are fitted on at most about SAMPLE documents of each language, chosen by a hash of doc_id, for at most LANGUAGES
-languages (the most frequent); the model's size is bounded by that. All documents are scored over their whole texts: each
-distinct word once while it stays in a worker's cache.
+Models are fitted on at most about SAMPLE documents of each language, chosen by a hash of doc_id, and calibrated on others (of
+few documents a part is held out, of a single one none). Every language that is given is learned, so the model grows with
+their number. All documents are scored over their whole texts: each distinct word once while it stays in a worker's cache.
 
 Defined results. Null texts and texts without a letter: `und`, score 0, rejected. Without any learned language: the same.
 Rows stay one to one; extra columns are ignored.
@@ -34,7 +34,6 @@ from . import common
 ORDER = 4
 SAMPLE = 800
 CALIBRATION = 200
-LANGUAGES = 256
 REJECT = 0.5
 MARGIN = 0.5
 UNKNOWN = "und"
@@ -233,18 +232,22 @@ def train(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION)
     spark = docs.sparkSession
     common.small_batches(spark)
     given = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
-    found = given.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    shares = [(r["lang"], int((1 << 30) * min(1.0, sample / r["count"])), int((1 << 30) * min(1.0, (sample + calibration) / r["count"]))) for r in found]
-    table = F.broadcast(spark.createDataFrame(shares, "of string, fit_below long, test_below long"))
-    # few languages may have few documents: then calibration reuses some of those that were counted
     place = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30))
-    picked = common.stored(given.join(table, F.col("lang") == F.col("of")).withColumn("place", place).filter("place < test_below").select("doc_id", "text", "lang", (F.col("place") < F.col("fit_below")).alias("fit"), (F.col("fit_below") == 1 << 30).alias("few")), "languages")
+    found = given.groupBy("lang").agg(F.count("*").alias("count"), F.min(place).alias("least"), F.max(place).alias("most")).orderBy("lang").collect()  # a row for each language
+    # a part of each language's picked documents calibrates and isn't counted; one at least is counted
+    shares = []
+    for r in found:
+        test = min(1.0, (sample + calibration) / r["count"])
+        fit_below = max(r["least"] + 1, min(r["most"], int((1 << 30) * test * sample / (sample + calibration))))
+        shares.append((r["lang"], fit_below, max(fit_below, int((1 << 30) * test))))
+    table = F.broadcast(spark.createDataFrame(shares, "of string, fit_below long, test_below long"))
+    picked = common.stored(given.join(table, F.col("lang") == F.col("of")).withColumn("place", place).filter("place < test_below").select("doc_id", "text", "lang", (F.col("place") < F.col("fit_below")).alias("fit")), "languages")
     counts: dict[str, Counter] = {}
     rows = picked.filter("fit").select("lang", "text").mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     for lang, word, n in rows.collect():  # the words of a bounded sample
         counts.setdefault(lang, Counter())[word] = n
     model = fit(counts)
-    tests = picked.filter(~F.col("fit") | (F.col("few") & (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0))).select("text", "lang").limit(calibration * 50).collect()
+    tests = picked.filter(~F.col("fit")).select("text", "lang").collect()  # bounded for each language
     calibrate(model, [r["text"] for r in tests], [r["lang"] for r in tests])
     model.cache, model.table, model.sizes = {}, None, None
     return model

@@ -56,3 +56,17 @@ def test_nothing_learned(spark):
     model = li.train(df)
     assert li.identify(df, model).collect()[0]["lang_pred"] == "und"
     assert li.identify(df.limit(0), model).count() == 0
+
+
+def test_many_languages_are_learned_and_calibration_is_held_out(spark, monkeypatch):
+    word = lambda k: "".join("abcdefghijklmnopq"[k // 17**i % 17] for i in range(3))
+    rows = [(10 * k + d, f"{word(k)}{'xyz'[d]} {word(k)}", f"l{k:03}") for k in range(270) for d in range(1 if k == 0 else 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counted, tested = {}, []
+    fit, calibrate = li.fit, li.calibrate
+    monkeypatch.setattr(li, "fit", lambda counts: (counted.update(counts), fit(counts))[1])
+    monkeypatch.setattr(li, "calibrate", lambda model, texts, truth: (tested.extend(zip(texts, truth)), calibrate(model, texts, truth)))
+    model = li.train(df, sample=800, calibration=2)
+    assert model.languages == sorted({lang for _, _, lang in rows})
+    assert {lang for _, lang in tested} == set(model.languages) - {"l000"}
+    assert all(text.split()[0] not in counted[lang] for text, lang in tested)
