@@ -11,8 +11,12 @@ Shared by the two operators that remove repeated passages. The plan:
 3. What is left is one member of each class where an `h` has several classes: places where a passage begins or ends. Their
    spans are read from the texts again and compared in blocks by the operator's own method.
 
-An `h` of more than HOT classes isn't put into a block: its windows are dealt out one by one and counted in sorted order,
-in constant memory. So no step holds a group of unbounded size, and every window is judged.
+An `h` of more than HOT classes doesn't go into one block: its windows are dealt out one by one, by a hash of the window, and go
+through the same comparison. Where a block of equal windows grows too long, the first of them goes on into the next block for
+the others to be compared with. So no step holds a group of unbounded size, and every window is judged.
+
+Which members a class has is told by its 64-bit hashes `h` and `c`; the operator's own comparison sees one member of each class
+where windows may also repeat in another class.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -31,8 +35,10 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK = 1 << 18
 #: Classes of one anchor hash up to which they are compared in one block, and the units of a block.
-HOT = 1 << 13
+HOT = 1 << 11
 BLOCK_UNITS = 200_000
+#: Bytes of text whose anchors are combined before the shuffle: what bounds the rows that one passage of all texts can have.
+HELD_BYTES = 16 << 20
 #: An anchor's row packs a, m (12 bits each) and two flags: it needs no comparison; its class has other members in its block.
 SETTLED, MORE = 1 << 24, 1 << 25
 #: Where a span starts is a long: 23 bits of the text's hash, which tell rows of equal doc_id apart, and 40 bits of position.
@@ -161,13 +167,20 @@ def _mark(x: np.ndarray) -> np.ndarray:
     return (x.astype(np.int64) & 0x7FFFFF) << POSITION_BITS
 
 
-#: Stands for a null doc_id while rows are joined by it; the id itself is taken for null.
-NO_ID = -(1 << 63)
+#: Null doc_ids are told apart by their text while rows are joined by doc_id: they take the first ids of all (which are taken for
+#: null), so that texts without ids don't meet in one task.
+NO_ID, NO_IDS = -(1 << 63), 1 << 39
+
+
+def given_id(doc_id: Column) -> Column:
+    """The id, or null where `marked` has put another in its place."""
+    return F.when(doc_id >= NO_ID + NO_IDS, doc_id)
 
 
 def marked(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, the text and its mark, which tells rows of one doc_id apart; and, if asked for, the whole row in `row`."""
-    cols = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")]
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    cols = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(mark, F.lit(NO_IDS))).alias("doc_id"), F.col("text"), mark.alias("mark")]
     # the text isn't carried twice
     return docs.select(*cols, *([F.struct(*(c for c in docs.columns if c != "text")).alias("row")] if carry else []))
 
@@ -176,16 +189,26 @@ _ANCHORS = "h long, c long, doc_id long, at long, am int"
 
 
 def _anchor_rows(kind: Kind) -> Callable:
+    def rows(held: list[tuple]) -> pa.RecordBatch:
+        h, c, doc, at, am = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, flags, keep = _combined(h, c, doc, at, kind.earlier)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, c, doc, at, (flags | am).astype(np.int32))], names=["h", "c", "doc_id", "at", "am"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
         for block in common.blocks(batches):
             data, ends = common.utf8(block.column("text"))
             got = anchors(*kind.units(data, ends), kind.size, kind.k)
+            size += len(data)
             if len(got["h"]):
-                doc = block.column("doc_id").to_numpy()[got["text"]]
                 at = _mark(block.column("mark").to_numpy())[got["text"]] | got["start"]
-                h, flags, keep = _combined(got["h"], got["c"], doc, at, kind.earlier)
-                am = flags | got["a"] << 12 | got["m"]
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, got["c"], doc, at, am.astype(np.int32))], names=["h", "c", "doc_id", "at", "am"])
+                held.append((got["h"], got["c"], block.column("doc_id").to_numpy()[got["text"]], at, got["a"] << 12 | got["m"]))
+            if held and size >= HELD_BYTES:
+                yield rows(held)
+                held, size = [], 0
+        if held:
+            yield rows(held)
 
     return run
 
@@ -212,7 +235,7 @@ def _combined(h: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray, ear
 
 
 def _segment_rows(kind: Kind) -> Callable:
-    """Reads the spans of open anchors from the texts: one row with the span, or for hot hashes one for each window."""
+    """Reads the spans of open anchors from the texts: one row with the span, or for hot hashes one for each window's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches):
@@ -230,7 +253,7 @@ def _segment_rows(kind: Kind) -> Callable:
                         out.append((x["h"], 0, doc, x["at"], x["am"], x["several"], piece.tobytes()))
                     else:
                         for j, w in enumerate(window_hashes(bytes_as_units(piece) if kind.name == "bytes" else piece, kind.size).view(np.int64).tolist()):
-                            out.append((x["h"], w or 1, doc, x["at"] + j, 1, x["several"], None))
+                            out.append((x["h"], w or 1, doc, x["at"] + j, (x["am"] >> 12 & 0xFFF) - j << 12 | 1, x["several"], piece[j : j + kind.size].tobytes()))
                     if len(out) >= 2000:
                         yield _segments(out)
                         out = []
@@ -281,36 +304,21 @@ def _compared(kind: Kind, judge: Callable) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # whole groups, and the group that goes on
-        units, now = 0, None
-        hot: tuple | None = None  # the last row of a hot hash's window and whether it has been given out
+        units, now, first = 0, None, None
         for batch in batches:
-            found: list[tuple] = []
             for row in zip(*(batch.column(c).to_pylist() for c in _SEGMENT_NAMES), strict=True):
-                if row[1]:
-                    if hot and hot[0][:2] == row[:2]:
-                        if kind.earlier:
-                            if row[2:4] != hot[2]:
-                                found.append(row)
-                        else:
-                            if not hot[1]:
-                                found.append(hot[0])
-                            found.append(row)
-                        hot = (row, True, hot[2])
-                    else:
-                        hot = (row, False, row[2:4])
-                    continue
-                if row[0] != now:
-                    if units >= BLOCK_UNITS:
-                        if (out := flush(held)) is not None:
-                            yield out
-                        held, units = [], 0
-                    now = row[0]
-                elif held[-1][2:4] == row[2:4]:  # a repeated row of one document
+                same = row[:2] == now
+                if same and held[-1][2:4] == row[2:4]:  # a repeated row of one document
                     continue
+                if units >= BLOCK_UNITS and (not same or row[1]):
+                    if (out := flush(held)) is not None:
+                        yield out
+                    held = [first] if same else []  # all windows of a group that has a window's hash are equal
+                    units = kind.size * len(held)
+                if not same:
+                    now, first = row[:2], row
                 held.append(row)
                 units += (row[4] & 0xFFF) + kind.size
-            if found:
-                yield _spans([r[2] for r in found], [r[3] for r in found], [1] * len(found))
         if held and (out := flush(held)) is not None:
             yield out
 

@@ -1,14 +1,15 @@
 """Substring duplicates by relative Lempel-Ziv parsing over words.
 
-The first place of each window of words makes up the reference, which is held in blocks by the windows' anchors (see
-repeats.py). Documents are factored against every block that shares an anchor with them: from a word on, the longest run
-that the reference continues is one factor (`factors`); where a factor ends, the windows across its boundary are looked up
-once more, so a window that two factors share isn't missed. Factors of `window` words or more are the duplicate spans.
+Spans of documents that share an anchor are a block (see repeats.py), in order of (doc_id, place); what stands before a span is
+its reference. Each span is factored greedily: from a word on, the match with the reference's indexed place is taken as far as
+words agree (`factors`); where a factor ends, runs across its boundary are looked up once more, so one that the reference has
+elsewhere isn't missed. Factors of `window` words or more are the duplicate spans. Members of one class (equal spans) get what
+their hashes say, without a parse of each; see repeats.py.
 
 Defined results. Words are runs of bytes other than the six ASCII white spaces, compared by 64-bit hashes. Null and empty
 texts have no words. Texts with fewer words than the window keep all. Rows with equal doc_id and text are one document with
-the same result; of two texts under one doc_id one counts as first. Null doc_id stands before all others. Extra columns are
-ignored.
+the same result; of two texts under one doc_id one counts as first. Null doc_ids stand before all others, in order of a hash
+of their text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,36 +28,46 @@ from . import common, repeats
 WINDOW, GRAM = 20, 6
 
 
-def factors(source: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy factors from each window's place in the reference (-1: none): first window and windows of each factor.
+def factors(units: np.ndarray, begins: np.ndarray, ends: np.ndarray, group: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """Greedy factors (place, source, length) of each span relative to what stands before in its group, of `size` units or more.
 
-    A factor goes on while the reference continues (`source` rises by one); `breaks` marks windows that begin a span. At each
-    boundary the next window's own place decides, so windows across boundaries are judged as well.
+    The reference's runs of `size` units are indexed by their first places. From a unit on whose run is in the index, the match
+    with that place is taken as far as units agree within both spans; a match shorter than `size` (runs of one hash that
+    differ) is none. The next factor may begin at the first run that the last one doesn't hold whole: so runs across a
+    factor's boundary are looked up too, and one that the reference has elsewhere begins a factor of its own.
     """
-    hit = source >= 0
-    start = hit.copy()
-    start[1:] &= ~hit[:-1] | (source[1:] != source[:-1] + 1) | breaks[1:]
-    first = np.flatnonzero(start)
-    if not len(first):
-        return first, first
-    stop = hit & np.append(~hit[1:] | start[1:], True)
-    return first, np.flatnonzero(stop) - first + 1
+    runs = np.maximum(ends - begins - size + 1, 0)
+    owner = np.repeat(np.arange(len(begins)), runs)
+    place = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs) + begins[owner]
+    if not len(place):
+        return []
+    hashed = repeats.window_hashes(units, size)[place] + common.mixed(group[owner].view(np.uint64))
+    _, first, where = np.unique(hashed, return_index=True, return_inverse=True)
+    indexed = first[where]  # the first run of the same hash
+    out, after = [], -1
+    for w in np.flatnonzero(indexed < np.arange(len(place))).tolist():
+        at, source = int(place[w]), int(indexed[w])
+        if at < after:  # within the last factor
+            continue
+        source, room = int(place[source]), int(ends[owner[w]]) - at
+        room = min(room, int(ends[owner[indexed[w]]]) - source)
+        differs = np.flatnonzero(units[at : at + room] != units[source : source + room])
+        length = int(differs[0]) if len(differs) else room
+        if length >= size:
+            out.append((at, source, length))
+            after = at + length - size + 1
+    return out
 
 
 def _later(units: np.ndarray, group: np.ndarray, windows: np.ndarray, owner: np.ndarray, offset: np.ndarray, kind: repeats.Kind) -> np.ndarray:
-    """Spans stand in order of (anchor, doc_id, place), so the first of equal windows is the reference's."""
-    hashed = repeats.window_hashes(units, kind.size)[windows]
-    key = hashed + common.mixed(group[owner].view(np.uint64))
-    index, first, where = np.unique(key, return_index=True, return_inverse=True)
-    source = first[where]
-    source = np.where(source == np.arange(len(windows)), -1, source)
-    breaks = np.ones(len(windows), bool)
-    breaks[1:] = owner[1:] != owner[:-1]
-    begin, count = factors(source, breaks)
-    out = np.zeros(len(windows) + 1, np.int64)
-    np.add.at(out, begin, 1)
-    np.add.at(out, begin + count, -1)
-    return np.cumsum(out[:-1]) > 0
+    """Spans stand in order of (anchor, doc_id, place), so what stands before a span is its reference."""
+    lead = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    begins, ends = windows[lead], windows[np.append(lead[1:], len(windows)) - 1] + kind.size
+    edge = np.zeros(len(units) + 1, np.int64)
+    for at, _, length in factors(units, begins, ends, group, kind.size):
+        edge[at] += 1
+        edge[at + length - kind.size + 1] -= 1
+    return (np.cumsum(edge[:-1]) > 0)[windows]
 
 
 def _reduce(size: int, with_text: bool):
@@ -92,4 +103,4 @@ def rlz_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text
     kind = repeats.Kind("words", window, gram, earlier=True)
     spans = repeats.repeated_spans(docs, kind, _later)
     out = spans.mapInArrow(_reduce(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, edges array<long>, kept_text string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != repeats.NO_ID, F.col("doc_id")))
+    return out.withColumn("doc_id", repeats.given_id(F.col("doc_id")))

@@ -23,8 +23,6 @@ from . import common, repeats
 
 #: Bytes of a window, and of the k-gram that anchors it.
 WINDOW, GRAM = 200, 40
-#: Bytes of a block up to which it gets a suffix array.
-LARGE_UNITS = 600_000
 
 
 def two_stage_suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
@@ -106,10 +104,6 @@ def adjacent_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.nda
 
 
 def _repeated(units: np.ndarray, group: np.ndarray, windows: np.ndarray, owner: np.ndarray, offset: np.ndarray, kind: repeats.Kind) -> np.ndarray:
-    if len(units) > LARGE_UNITS:  # one anchor with very many contexts: windows by hash, as an array of it wouldn't fit
-        hashed = repeats.window_hashes(repeats.bytes_as_units(units), kind.size)[windows]
-        _, where, count = np.unique(hashed, return_inverse=True, return_counts=True)
-        return count[where] > 1
     order = two_stage_suffix_array(units, kind.size)
     slot = np.full(len(units), -1, np.int64)
     slot[windows] = np.arange(len(windows))
@@ -184,4 +178,4 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_t
     kind = repeats.Kind("bytes", window, gram, earlier=False)
     spans = repeats.repeated_spans(docs, kind, _repeated)
     out = spans.mapInArrow(_reduce(window, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, edges array<long>, kept_text string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != repeats.NO_ID, F.col("doc_id")))
+    return out.withColumn("doc_id", repeats.given_id(F.col("doc_id")))

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import kumiko.llm.rlz_dedup as rlz_dedup_module
 import kumiko.llm.suffix_dedup as suffix_dedup_module
 from kumiko.llm import repeats
 from kumiko.llm.rlz_dedup import factors, rlz_dedup
@@ -82,8 +83,7 @@ def test_bytes(spark, monkeypatch, seed, hot):
     rows = corpus(seed, 60, 12)
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
     if seed == 3:
-        monkeypatch.setattr(suffix_dedup_module, "LARGE_UNITS", 0)
-        monkeypatch.setattr(repeats, "HOT", 1024)
+        monkeypatch.setattr(repeats, "BLOCK_UNITS", 100)  # blocks of equal windows are cut as well
     got = suffix_dedup(df, window=30, gram=10).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == brute_bytes(rows, 30)
 
@@ -127,8 +127,54 @@ def test_suffix_array(letters):
         assert [b[i : i + 5] for i in deep] == sorted(b[i : i + 5] for i in range(n))
 
 
+def parsed(units, spans, size, group=None):
+    begins, ends = (np.array(x) for x in zip(*spans))
+    return factors(np.array(units, np.uint64), begins, ends, np.zeros(len(spans), np.int64) if group is None else np.array(group), size)
+
+
 def test_factors():
-    source = np.array([-1, 4, 5, 6, 9, 10, -1, 3])
-    breaks = np.array([True, False, False, True, False, False, False, False])
-    begin, count = factors(source, breaks)
-    assert begin.tolist() == [1, 3, 4, 7] and count.tolist() == [2, 1, 2, 1]
+    # a whole match, extended beyond one window; then one whose first word has no source
+    assert parsed([1, 2, 3, 4, 5, 1, 2, 3, 4, 5], [(0, 5), (5, 10)], 3) == [(5, 0, 5)]
+    assert parsed([1, 2, 3, 4, 5, 9, 2, 3, 4, 5], [(0, 5), (5, 10)], 3) == [(6, 1, 4)]
+    # shorter than a window: no factor; another group: no reference
+    assert parsed([1, 2, 3, 4, 1, 2, 8, 9], [(0, 4), (4, 8)], 3) == []
+    assert parsed([1, 2, 3, 1, 2, 3], [(0, 3), (3, 6)], 3, [1, 2]) == []
+    # a run across the boundary of a factor that stands elsewhere in the reference
+    units = [1, 2, 3, 4, 7, 3, 4, 5, 6, 1, 2, 3, 4, 5, 6]
+    assert parsed(units, [(0, 5), (5, 9), (9, 15)], 3) == [(9, 0, 4), (11, 5, 4)]
+    # a span is its own reference too
+    assert parsed([1, 1, 1, 1, 1], [(0, 5)], 2) == [(1, 0, 4)]
+
+
+def test_wrong_hashes_give_no_factor(monkeypatch):
+    monkeypatch.setattr(repeats, "window_hashes", lambda units, size: np.zeros(len(units) - size + 1, np.uint64))
+    assert parsed([1, 2, 3, 4, 5, 6], [(0, 3), (3, 6)], 3) == []
+
+
+@pytest.mark.parametrize("module,name,none", [(rlz_dedup_module, "factors", []), (suffix_dedup_module, "adjacent_prefixes", None)])
+def test_the_method_decides(spark, monkeypatch, module, name, none):
+    """Without the operator's own comparison, repeats across classes are lost."""
+    rows = corpus(1, 60, 12)
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    found = []
+
+    def counted(units, group, windows, owner, offset, kind, judge=module._later if none == [] else module._repeated):
+        found.append(int(judge(units, group, windows, owner, offset, kind).sum()))
+        return found[-1]
+
+    units, ends = np.arange(40, dtype=np.uint64) % 20, np.array([0, 20, 40])
+    if none is None:
+        units = units.astype(np.uint8) + 97
+    windows, owner = np.array([0, 1, 2, 20, 21, 22]), np.repeat([0, 1], 3)
+    args = (units, np.zeros(2, np.int64), windows, owner, windows * 0, repeats.Kind("words" if none == [] else "bytes", 18, 3, none == []))
+    assert counted(*args) == (3 if none == [] else 6)
+    monkeypatch.setattr(module, name, lambda *a: none if none is not None else np.zeros(max(0, len(a[1]) - 1), np.int64))
+    assert counted(*args) == 0
+
+
+def test_many_texts_without_ids(spark):
+    rows = [(None, f"{i} " + "the same eight words stand in each of them " * 2) for i in range(40)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    assert repeats.marked(df).select("doc_id").distinct().count() == 40
+    got = suffix_dedup(df, window=30, gram=10).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute_bytes(rows, 30)
