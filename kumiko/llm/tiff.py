@@ -1,12 +1,13 @@
 """TIFF images: one row for each page (image directory).
 
 `pages_of` walks the chain of image directories of a file, reads strips or tiles, undoes PackBits, LZW or deflate and the
-horizontal predictor, and gives each page's samples. `encode` writes such files. Samples are unsigned, of 8 or 16 bits,
-chunky or in separate planes.
+predictors (horizontal differences, and those of floating point), and gives each page's samples. `encode` writes such files.
+Samples have 1, 2, 4, 8, 16 or 32 bits, chunky or in separate planes; those of less than 8 bits come out as a byte each.
 
 Damaged files don't stop a job: a page that can't be read gives a row with `error`, and a chain that loops or leaves the file
 ends. Null content gives no page. A page needs memory in proportion to its decoded size; PAGE_BYTES bounds it, and a larger
-page is an error row.
+page is an error row. Texts are stored as pages of TEXT_BYTES at most, so any length can be read back. Their coding is told by
+their bytes: PackBits, LZW or deflate, in strips or tiles. Equal texts make equal files; a null text is stored as an empty one.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 32
 RAW, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 PAGE_BYTES = 1 << 28
+TEXT_BYTES = 1 << 24
 
 
 @dataclass
@@ -62,20 +64,26 @@ def unpack_bits(data: bytes, size: int) -> bytes:
 
 
 def pack_bits(data: bytes) -> bytes:
+    """Runs of three bytes or more as runs, all between them as they are, in parts of 128 at most."""
+    raw = np.frombuffer(data, np.uint8)
+    begins = np.flatnonzero(np.concatenate([[True], raw[1:] != raw[:-1]])) if len(raw) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begins, len(raw)))
     out, at = bytearray(), 0
-    while at < len(data):
-        run = 1
-        while run < 128 and at + run < len(data) and data[at + run] == data[at]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        end = at
-        while end < len(data) and end - at < 128 and not (end + 2 < len(data) and data[end] == data[end + 1] == data[end + 2]):
-            end += 1
-        out += bytes((end - at - 1,)) + data[at:end]
-        at = end
+
+    def plain(upto: int) -> None:
+        for lo in range(at, upto, 128):
+            part = data[lo : min(lo + 128, upto)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for begin, n in zip(begins[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        plain(begin)
+        at = begin + n
+        while n > 1:
+            out += bytes((257 - min(n, 128), data[begin]))
+            n -= min(n, 128)
+        at -= n  # one byte that is left of a long run goes on as it is
+    plain(len(data))
     return bytes(out)
 
 
@@ -118,39 +126,36 @@ def unlzw(data: bytes, size: int) -> bytes:
 
 
 def lzw(data: bytes) -> bytes:
-    held, bits, out = 256, 9, bytearray()
-    table: dict[bytes, int] = {bytes((i,)): i for i in range(256)}
-    entries, width, word = 258, 9, b""
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        held, bits = held << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-
-    for i in range(len(data)):
-        c = data[i : i + 1]
-        if word + c in table:
-            word += c
+    codes, last = [256], -1
+    table: dict[int, int] = {}  # code and next byte to code
+    entries, widths = 258, [9]
+    for c in data:
+        if last < 0:
+            last = c
             continue
-        put(table[word])
-        table[word + c] = entries
-        entries += 1
+        key = last << 8 | c
+        if (found := table.get(key)) is not None:
+            last = found
+            continue
+        codes.append(last)
         # the reader's table is one entry behind
-        width = _lzw_width(entries - 1)
+        widths.append(_lzw_width(entries - 1))
+        table[key] = entries
+        entries += 1
         if entries == 4094:
-            put(256)
-            table, entries, width = {bytes((j,)): j for j in range(256)}, 258, 9
-        word = c
-    if word:
-        put(table[word])
-        width = _lzw_width(entries)
-    put(257)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+            codes.append(256)
+            widths.append(_lzw_width(entries - 1))
+            table, entries = {}, 258
+        last = c
+    if last >= 0:
+        codes.append(last)
+        widths.append(_lzw_width(entries - 1))
+        entries += 1
+    codes.append(257)
+    widths.append(_lzw_width(entries - 1))
+    width = np.array(widths)
+    bits = (np.array(codes)[:, None] >> np.arange(11, -1, -1)) & 1
+    return np.packbits(bits[np.arange(11, -1, -1) < width[:, None]].astype(np.uint8)).tobytes()
 
 
 def _unpacked(data: bytes, compression: int, size: int) -> bytes:
@@ -193,24 +198,37 @@ class _File:
         return tags, struct.unpack_from(self.order + "I", self.data, at + 2 + 12 * n)[0]
 
 
+def _samples(raw: np.ndarray, across: int, deep: int, bits: int, kind: np.dtype, predictor: int) -> np.ndarray:
+    """The samples (rows, across, deep) of rows of bytes, without the predictor."""
+    own = kind.newbyteorder("=")
+    if bits < 8:
+        each = np.unpackbits(raw, axis=1).reshape(len(raw), -1, bits)
+        return (each @ (1 << np.arange(bits)[::-1])).astype(np.uint8)[:, : across * deep].reshape(len(raw), across, deep)
+    if predictor == 3:  # differences between bytes, then planes of bytes from the most significant on
+        whole = np.cumsum(raw.reshape(len(raw), -1, deep), axis=1, dtype=np.uint8).reshape(len(raw), bits // 8, -1)
+        return np.ascontiguousarray(whole.transpose(0, 2, 1)).view(np.dtype(f">u{bits // 8}")).astype(own).reshape(len(raw), across, deep)
+    out = np.ascontiguousarray(raw).view(kind).astype(own).reshape(len(raw), across, deep)
+    return np.cumsum(out, axis=1, dtype=out.dtype) if predictor == 2 else out
+
+
 def _page(file: _File, tags: dict[int, list[int]], number: int) -> Page:
     one = lambda tag, default: (tags.get(tag) or [default])[0]
     width, height, samples = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
     bits, compression, predictor = one(BITS, 1), one(COMPRESSION, RAW), one(PREDICTOR, 1)
     page = Page(number, width, height, samples, bits, compression, predictor, 0, None)
     try:
-        if bits not in (8, 16) or any(b != bits for b in tags.get(BITS, [])):
+        if bits not in (1, 2, 4, 8, 16, 32) or any(b != bits for b in tags.get(BITS, [])):
             raise ValueError(f"{bits} bits a sample")
-        if predictor not in (1, 2):
-            raise ValueError(f"predictor {predictor}")
-        if not width or not height or width * height * samples * bits // 8 > PAGE_BYTES:
+        if predictor not in (1, 2, 3) or predictor == 2 and bits < 8 or predictor == 3 and bits < 16:
+            raise ValueError(f"predictor {predictor} of {bits} bits")
+        if not width or not height or width * height * samples * max(8, bits) // 8 > PAGE_BYTES:
             raise ValueError("size out of range")
         planes = samples if one(PLANAR, 1) == 2 else 1
         deep = samples // planes
-        kind = np.dtype(np.uint8 if bits == 8 else file.order + "u2")
+        kind = np.dtype(np.uint8 if bits <= 8 else file.order + f"u{bits // 8}")
         tiled = TILE_OFFSETS in tags
         across, down = (one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)) if tiled else (width, min(height, one(ROWS_PER_STRIP, height)))
-        if not across or not down or across * down * deep * bits // 8 > PAGE_BYTES:
+        if not across or not down or across * down * deep * max(8, bits) // 8 > PAGE_BYTES:
             raise ValueError("tile size out of range")
         offsets, sizes = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, []), tags.get(TILE_BYTES if tiled else STRIP_BYTES, [])
         columns, rows = -(-width // across), -(-height // down)
@@ -222,13 +240,12 @@ def _page(file: _File, tags: dict[int, list[int]], number: int) -> Page:
             plane, place = divmod(k, columns * rows)
             r, c = divmod(place, columns)
             high = down if tiled else min(down, height - r * down)
-            size = across * high * deep * kind.itemsize
+            line = -(-across * deep * bits // 8)  # a row begins with a byte of its own
+            size = line * high
             raw = _unpacked(file.data[offsets[k] : offsets[k] + sizes[k]], compression, size)
             if len(raw) < size:
                 raise ValueError("a part is too short")
-            part = np.frombuffer(raw, kind, across * high * deep).astype(kind.newbyteorder("=")).reshape(high, across, deep)
-            if predictor == 2:
-                part = np.cumsum(part, axis=1, dtype=part.dtype)
+            part = _samples(np.frombuffer(raw, np.uint8, size).reshape(high, line), across, deep, bits, kind, predictor)
             y, x = r * down, c * across
             part = part[: height - y, : width - x]
             whole[y : y + part.shape[0], x : x + part.shape[1], plane * deep : plane * deep + deep] = part
@@ -316,21 +333,33 @@ def read_pages(files: DataFrame) -> DataFrame:
 SIDE = 64
 
 
-def text_image(text: str | None) -> np.ndarray:
-    """A text's bytes, padded with 0 to a positive multiple of SIDE, as rows of SIDE samples."""
+#: How a text may be stored: compression and side of tiles (0: strips).
+FORMS = [(c, tile) for tile in (0, SIDE) for c in (DEFLATE, LZW, PACKBITS)]
+
+
+def text_images(text: str | None) -> list[np.ndarray]:
+    """A text's bytes, padded with 0 to a positive multiple of SIDE, as pages of rows of SIDE samples."""
     raw = (text or "").encode()
     size = max(SIDE, -(-len(raw) // SIDE) * SIDE)
-    return np.frombuffer(raw.ljust(size, b"\0"), np.uint8).reshape(-1, SIDE, 1)
+    rows = np.frombuffer(raw.ljust(size, b"\0"), np.uint8).reshape(-1, SIDE, 1)
+    high = max(1, TEXT_BYTES // SIDE)
+    return [rows[y : y + high] for y in range(0, len(rows), high)]
+
+
+def text_file(text: str | None) -> bytes:
+    compression, tile = FORMS[zlib.crc32((text or "").encode()) % len(FORMS)]
+    # differences make no runs for PackBits to pack
+    return encode(text_images(text), compression, 1 if compression == PACKBITS else 2, tile=tile)
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in common.blocks(batches):
         texts = block.column("text").to_pylist()
-        yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([encode([text_image(t)]) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "content"])
+        yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(map(text_file, texts), pa.binary())], names=["doc_id", "n_bytes", "content"])
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and content: each text as a one-page file of deflated strips of differences."""
+    """doc_id, n_bytes and content: each text as a file of one page or more, in the form that its bytes choose."""
     common.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_store, "doc_id long, n_bytes long, content binary")
 
@@ -344,7 +373,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pixels = b"".join(p.pixels or b"" for p in pages)
             first = pages[0]
             values = np.frombuffer(pixels, np.uint8)
-            feature = f"pages={len(pages)};width={first.width};height={first.height};parts={first.parts};compression={first.compression};predictor={first.predictor};sum={int(values.sum(dtype=np.int64))};max={int(values.max())};errors={sum(p.error is not None for p in pages)}"
+            feature = f"pages={len(pages)};width={first.width};height={first.height};parts={first.parts};compression={first.compression};predictor={first.predictor};sum={int(values.sum(dtype=np.int64))};max={int(values.max(initial=0))};errors={sum(p.error is not None for p in pages)}"
             rows.append((len(pixels), hashlib.sha256(pixels).hexdigest(), zlib.crc32(pixels[-64:]), len(content), hashlib.sha256(content).hexdigest(), feature))
         cols = zip(*rows, strict=True)
         types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

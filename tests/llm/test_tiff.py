@@ -62,6 +62,36 @@ def test_texts(spark):
     assert got[2][2:] == got[7][2:] and None in got
 
 
+def test_long_text_has_pages(monkeypatch):
+    monkeypatch.setattr(tiff, "TEXT_BYTES", 640)
+    monkeypatch.setattr(tiff, "PAGE_BYTES", 5000)
+    for n in (0, 1, 640, 641, 5000):
+        for extra in range(6):  # other forms
+            text = "ab" * n + "c" * extra
+            pages = list(tiff.pages_of(tiff.text_file(text)))
+            assert all(p.error is None for p in pages) and len(pages) == max(1, -(-(2 * n + extra) // 640))
+            assert b"".join(p.pixels for p in pages).rstrip(b"\0") == text.encode()
+    assert len({zlib.crc32(b"x" * n) % len(tiff.FORMS) for n in range(60)}) == len(tiff.FORMS)
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_few_bits(bits):
+    r = np.random.default_rng(bits)
+    image = r.integers(0, 1 << bits, (5, 13, 3)).astype(np.uint8)
+    spread = ((image.reshape(5, -1)[:, :, None] >> np.arange(bits)[::-1]) & 1).astype(np.uint8).reshape(5, -1)
+    raw = np.packbits(spread, axis=1)
+    got = tiff._samples(raw, 13, 3, bits, np.dtype(np.uint8), 1)
+    assert (got == image).all()
+
+
+def test_floating_point_predictor():
+    values = np.random.default_rng(1).normal(size=(4, 9, 2)).astype(np.float32)
+    planes = values.astype(">f4").view(np.uint8).reshape(4, 18, 4).transpose(0, 2, 1).reshape(4, -1, 2)
+    stored = np.diff(planes, axis=1, prepend=np.zeros((4, 1, 2), np.uint8)).reshape(4, -1)
+    got = tiff._samples(stored, 9, 2, 32, np.dtype("<u4"), 3)
+    assert (got.view(np.float32) == values).all()
+
+
 def test_pages(spark):
     two = tiff.encode([np.ones((3, 4, 1), np.uint8), np.full((2, 2, 3), 9, np.uint8)], tiff.LZW)
     df = spark.createDataFrame([(1, bytearray(two), 0), (2, None, 0), (3, bytearray(b"junk"), 0), (None, bytearray(two), 0)], "doc_id long, content binary, page int")
