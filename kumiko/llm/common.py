@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, set here only where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="kumiko-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -55,6 +57,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_text(col: Column) -> Column:
     return F.crc32(F.encode(col, "UTF-8"))
 
@@ -151,16 +161,30 @@ def stored_at(spark: SparkSession, path: str) -> None:
     if not _stored:
         import atexit
 
-        atexit.register(forget)
+        atexit.register(_end, spark)
     _stored.append((spark, path))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session may be gone at exit; what stays is the shared folder's to clean
+        return
+
+
 def forget() -> None:
     """Deletes the tables and files that this session has put into the shared folder; call it when results are used."""
     while _stored:
-        spark, path = _stored.pop()
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit; what stays is the shared folder's to clean
-            return
+        _delete(*_stored.pop())
+
+
+def _end(spark: SparkSession) -> None:
+    """At the driver's end: all tables, and this application's own folder of checkpoints."""
+    forget()
+    try:
+        of_application = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if of_application.isDefined():
+            _delete(spark, of_application.get())
+    except Exception:  # noqa: BLE001  the session may be gone
+        return
