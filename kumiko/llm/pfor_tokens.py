@@ -7,7 +7,8 @@ ones go, whole, to the block's exception list. Any block can be read on its own
 
 Texts are split for speed before single spaces and around line feeds: the byte-level pattern never joins what these part, so
 ids of the pieces are those of the whole text. Each distinct piece goes through the tokenizer once while it stays in a worker's
-cache. Texts in which this doesn't hold (other or repeated white space, characters above U+024F) go through it whole.
+cache. Texts in which this doesn't hold (other or repeated white space, characters above U+024F, a token that the tokenizer adds
+to its model, such as an end mark) go through it whole.
 
 Files are written under a name of their own for each attempt and moved to the final name, so a task may run again.
 
@@ -18,14 +19,13 @@ doc_id comes first. Extra columns are ignored.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,13 +185,44 @@ class Reader:
             yield doc, a, held[a - base : b - base]
 
 
-#: Texts with other characters go whole: white space other than space and line feed, controls, all above U+024F.
-_ODD = re.compile("[^\x20-\x7e\n\xa1-\u024f]")
+#: Texts with other characters go whole: white space other than space and line feed, controls, all above U+024F; and those in
+#: which white space isn't single spaces and line feeds between other characters.
+_IRREGULAR = r"^$|^[ \n]|[ \n]{2}|[ \n]$|[^\x20-\x7e\n\x{a1}-\x{24f}]"
 
 
-def _regular(text: str) -> bool:
-    """Whether white space is single spaces and line feeds between other characters."""
-    return not (text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _ODD.search(text))
+def split_texts(texts: pa.Array, apart: list[str] | tuple = ()) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray]:
+    """Pieces that byte-level patterns never join: which texts are regular, all pieces of those, and where each text's begin.
+
+    A piece keeps the space before it, and a line feed is a piece. Null counts as irregular, and so does a text that has one of
+    the strings in `apart`.
+    """
+    wide = texts.cast(pa.large_string())
+    odd = pc.match_substring_regex(wide, _IRREGULAR)
+    for token in apart:
+        odd = pc.or_(odd, pc.match_substring(wide, token))
+    regular = np.asarray(pc.fill_null(pc.invert(odd), False).to_numpy(zero_copy_only=False), bool)
+    some = pc.replace_substring(pc.replace_substring(wide.filter(pa.array(regular)), " ", "\0 "), "\n", "\0\n\0")
+    lists = pc.split_pattern(some, "\0")
+    return regular, lists.flatten().dictionary_encode(), lists.offsets.to_numpy().astype(np.int64) - (lists.offsets[0].as_py() if len(lists) else 0)
+
+
+def strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def gathered(parts: list[bytes], width: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that `which` names, one after another (items of `width` bytes), and where each begins and the last one ends."""
+    kind = np.dtype("<u4") if width == 4 else np.dtype(np.uint8)
+    data = np.frombuffer(b"".join(parts), kind)
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // width
+    return taken(data, np.cumsum(size) - size, size, which)
+
+
+def taken(data: np.ndarray, begin: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """data[begin[i] : begin[i] + size[i]] for each i of `which`, one after another, and the bounds of these runs."""
+    many = size[which]
+    ends = np.concatenate([[0], np.cumsum(many)])
+    return data[np.repeat(begin[which] - ends[:-1], many) + np.arange(ends[-1])], ends
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -208,14 +239,15 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
         (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         # the same model without pre-tokenization, for words that are one pre-token and come in the model's own alphabet
         with open(path) as f:
             parts = json.load(f)
+        added = parts.get("added_tokens") or []
         parts |= {"pre_tokenizer": None, "post_processor": None, "decoder": None, "normalizer": None, "added_tokens": []}
         vocabulary = parts["model"]["vocab"]
+        self.added = [t["content"] for t in added]
         self.words = Tokenizer.from_str(json.dumps(parts))
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]
@@ -248,55 +280,41 @@ class Tokens:
                 self.cache[piece] = raw[begin * 4 : end * 4]
                 begin = end + 1
 
-    def _learn(self, pieces: list[str]) -> None:
-        cache, words, lines, ending = self.cache, [], set(), []
-        for piece in pieces:
-            word = piece.rstrip(".,")
-            if not (word.isalpha() or word[1:].isalpha() and word[0] == " "):
-                lines.add(piece)
-                continue
-            if word not in cache:
-                words.append(word)
-            if word != piece:  # marks after letters are a pre-token of their own
-                tail = piece[len(word) :]
-                ending.append((piece, word, tail))
-                if tail not in cache:
-                    lines.add(tail)
-        self._learn_words(list(set(words)))
-        self._learn_lines(list(lines))
-        for piece, word, tail in ending:
+    def _learn(self, pieces: pa.Array) -> None:
+        core = pc.utf8_rtrim(pieces, ".,")
+        letters = pc.utf8_is_alpha(pc.replace_substring(core, " ", "", max_replacements=1))  # a space stands at the start only
+        plain = pc.and_(letters, pc.equal(core, pieces))
+        marked = pc.and_(letters, pc.invert(plain))  # marks after letters are a pre-token of their own
+        cache = self.cache
+        ending, heads = strings(pieces.filter(marked)), strings(core.filter(marked))
+        tails = [piece[len(word) :] for piece, word in zip(ending, heads, strict=True)]
+        self._learn_words(list({*strings(pieces.filter(plain)), *heads}.difference(cache)))
+        self._learn_lines(list({*strings(pieces.filter(pc.invert(letters))), *tails}.difference(cache)))
+        for piece, word, tail in zip(ending, heads, tails, strict=True):
             cache[piece] = cache[word] + cache[tail]
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        pieces: dict[int, list[str]] = {}
-        whole = []
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if not _regular(t):
-                whole.append(i)
-                continue
-            # each piece keeps the space before it, and a line feed is a piece
-            pieces[i] = t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids.tobytes()
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        regular, pieces, begins = split_texts(texts, self.added)
+        whole = [i for i in np.flatnonzero(~regular).tolist() if texts[i].as_py()]
+        for i, ids in zip(whole, self._encode([texts[i].as_py() for i in whole]), strict=True):
+            out[i] = ids
+        cache, distinct = self.cache, strings(pieces.dictionary)  # each is looked up once a block
         cache["\n"] = np.array([self.line], "<u4").tobytes()
-        cache[""] = b""
-        flat = list(chain.from_iterable(pieces.values()))
-        found = list(map(cache.get, flat))
+        found = list(map(cache.get, distinct))
         gaps = [k for k, x in enumerate(found) if x is None]
         if gaps:
-            self._learn(list({flat[k] for k in gaps}))
+            if len(cache) > CACHE:  # the block's pieces stay
+                cache.clear()
+                cache.update((piece, x) for piece, x in zip(distinct, found, strict=True) if x is not None)
+            self._learn(pieces.dictionary.take(pa.array(gaps)))
             for k in gaps:
-                found[k] = cache[flat[k]]
-        at = 0
-        for i, ps in pieces.items():
-            out[i] = b"".join(found[at : at + len(ps)])
-            at += len(ps)
+                found[k] = cache[distinct[k]]
+        flat, ends = gathered(found, 4, pieces.indices.to_numpy())
+        bounds = ends[begins].tolist()
+        for k, i in enumerate(np.flatnonzero(regular).tolist()):
+            out[i] = flat[bounds[k] : bounds[k + 1]]
         return out
 
 
@@ -320,13 +338,13 @@ def _write(tokenizer: str, folder: str, end_id: int):
         part = TaskContext.get().partitionId()
         files, where = fs.FileSystem.from_uri(folder)
         name, temporary = f"{where}/part-{part:06d}.pfor", f"{where}/.{part:06d}-{uuid.uuid4().hex}"
-        tokens, end, writer, out = _tokens_of(tokenizer), np.array([end_id], "<u4").tobytes(), None, None
+        tokens, end, writer, out = _tokens_of(tokenizer), np.array([end_id], "<u4"), None, None
         for block in common.blocks(batches):
             if writer is None:
                 out = files.open_output_stream(temporary)
                 writer = Writer(out)
-            for doc, ids in zip(block.column("doc_id").to_pylist(), tokens.ids(block.column("text").to_pylist()), strict=True):
-                writer.add(doc, np.frombuffer(ids + end, "<u4"))
+            for doc, ids in zip(block.column("doc_id").to_pylist(), tokens.ids(block.column("text")), strict=True):
+                writer.add(doc, np.concatenate([ids, end]))
         if writer is not None:
             writer.close()
             out.close()
