@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding: ranked merges folded over the byte arrays of distinct words.
 
 There are two forms with the same results. `ByteBPE` is made of Spark's higher-order functions alone. `encode_texts` folds in
-Arrow batches: each distinct piece of text once while it stays in a worker's cache. The queries use the second, as the first
+Arrow batches, many words side by side: each distinct piece of text once while it stays in a worker's cache. The queries use the second, as the first
 needs more than twice the CPU time that they may take (the README has figures).
 
 In the form of higher-order functions:
@@ -15,8 +15,8 @@ Literal maps are arrays of small maps by the key's hash, as Spark searches a map
 
 Bytes are held as ISO-8859-1 strings. `\\s` means Unicode white space, as in the tokenizer's library.
 
-Defined results. Null and empty texts: no ids. Rows stay one to one, extra columns are ignored. A very long word costs time
-in the square of its length. Characters that newer Unicode versions have added are classed as the running Java has them.
+Defined results. Null and empty texts: no ids. Rows stay one to one, extra columns are ignored. A word of n
+bytes costs n log n steps in Arrow batches (n squared in the higher-order form). Characters that newer Unicode versions have added are classed as the running Java has them.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -203,28 +204,42 @@ class ByteBPE:
 
 #: Pieces of text whose ids a worker remembers at most.
 CACHE = 1 << 19
+#: Bytes of a word up to which words are folded side by side in a matrix, and cells of one matrix.
+WIDE, CELLS = 32, 1 << 20
 
 
 def fold_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids that ranked merges leave of a word: the leftmost pair of least rank is merged until none has a rank."""
+    """The ids that ranked merges leave of a word: the leftmost pair of least rank is merged until none has a rank.
+
+    Pairs wait in a heap by (rank, place), so a word of n bytes takes n log n steps. A pair that has changed since it was put
+    there is told by its end.
+    """
     whole = ranks.get(word)
     if whole is not None:
         return [whole]
-    get = ranks.get
-    parts = [word[i : i + 1] for i in range(len(word))]
-    pairs = [get(word[i : i + 2], NO_RANK) for i in range(len(word) - 1)]
-    while pairs:
-        least = min(pairs)
-        if least == NO_RANK:
-            break
-        i = pairs.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i], NO_RANK)
-        if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1], NO_RANK)
-    return [ranks[p] for p in parts]
+    n, get = len(word), ranks.get
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # the parts' neighbours by where they begin
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
+    heapify(heap)
+    gone = bytearray(n)
+    while heap:
+        _, i, end = heappop(heap)
+        j = after[i]
+        if gone[i] or j >= n or after[j] != end:
+            continue
+        gone[j] = 1
+        after[i] = end
+        if end < n:
+            before[end] = i
+            if (r := get(word[i : after[end]])) is not None:
+                heappush(heap, (r, i, after[end]))
+        if (b := before[i]) >= 0 and (r := get(word[b:end])) is not None:
+            heappush(heap, (r, b, end))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : after[i]]])
+        i = after[i]
+    return out
 
 
 class Folder:
@@ -234,26 +249,119 @@ class Folder:
         import regex
 
         self.ranks = read_ranks(rank_file)
-        self.pieces = {rank: piece for piece, rank in self.ranks.items()}
+        pieces = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for piece, rank in self.ranks.items():
+            pieces[rank] = piece
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+        self.size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.begin = np.cumsum(self.size) - self.size
         self.find = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
-
-    def _fold(self, piece: str) -> bytes:
-        ids = [i for word in self.find(piece) for i in fold_bytes(word.encode(), self.ranks)]
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        # line feeds and single spaces part pieces where white space is regular, as pfor_tokens says; other texts part into words
-        split = [[] if not t else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if pfor_tokens._regular(t) else self.find(t) for t in texts]
+        # the rank of each pair of pieces that are one piece together, by both ids
+        joined = sorted((a << 32 | b, rank) for piece, rank in self.ranks.items() for i in range(1, len(piece)) if (a := self.ranks.get(piece[:i])) is not None and (b := self.ranks.get(piece[i:])) is not None)
+        self.pairs, self.pair_ranks = np.array([k for k, _ in joined], np.int64), np.array([r for _, r in joined], np.int32)
+        self.of_byte = np.array([self.ranks.get(bytes((b,)), -1) for b in range(256)], np.int32)
+        self.of_two = self._rank(np.repeat(self.of_byte, 256), np.tile(self.of_byte, 256)).reshape(256, 256)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(self.pairs):
+            return np.full(len(a), NO_RANK, np.int32)
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_ranks[at], NO_RANK).astype(np.int32)
+
+    def _fold_matrix(self, words: list[bytes]) -> list[bytes]:
+        """fold_bytes of words of two bytes or more, a row of a matrix each: every step merges one pair in each row."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(size.max())
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(len(words), width)
+        ids = self.of_byte[raw]
+        pair = self.of_two[raw[:, :-1], raw[:, 1:]]
+        pair[np.arange(width - 1) >= size[:, None] - 1] = NO_RANK
+        done, total = np.zeros((len(words), width), "<u4"), size.copy()
+        left, count = np.arange(len(words)), size
+        while len(left):
+            if not pair.shape[1]:
+                done[left, : ids.shape[1]], total[left] = ids, count
+                break
+            place = pair.argmin(axis=1)
+            least = pair[np.arange(len(left)), place]
+            going = least < NO_RANK
+            if not going.all():
+                ended = left[~going]
+                done[ended, : ids.shape[1]], total[ended] = ids[~going], count[~going]
+                left, ids, pair, count, place, least = (x[going] for x in (left, ids, pair, count, place, least))
+                if not len(left):
+                    break
+            rows, count = np.arange(len(left)), count - 1
+            ids[rows, place] = least
+            columns = np.arange(ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, columns + (columns > place[:, None]), 1)
+            columns = columns[:-1]
+            pair = np.take_along_axis(pair, columns + (columns >= place[:, None]), 1)
+            r = np.flatnonzero(place > 0)
+            pair[r, place[r] - 1] = self._rank(ids[r, place[r] - 1], ids[r, place[r]])
+            r = np.flatnonzero(place < count - 1)
+            pair[r, place[r]] = self._rank(ids[r, place[r]], ids[r, place[r] + 1])
+        flat = done[np.arange(width) < total[:, None]].tobytes()
+        ends = (np.cumsum(total) * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def fold(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of distinct words, each a match of the pattern."""
+        out, rest = {}, {}
+        for word in words:
+            raw = word.encode()
+            if (whole := self.ranks.get(raw)) is not None:
+                out[word] = whole.to_bytes(4, "little")
+            elif len(raw) > WIDE:
+                out[word] = np.array(fold_bytes(raw, self.ranks), "<u4").tobytes()
+            else:
+                rest[word] = raw
+        order = sorted(rest.items(), key=lambda x: len(x[1]))
+        for lo in range(0, len(order), CELLS // WIDE):
+            part = order[lo : lo + CELLS // WIDE]
+            out.update(zip([w for w, _ in part], self._fold_matrix([raw for _, raw in part]), strict=True))
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        split = {}
+        for piece in pieces:
+            word = piece.rstrip(".,")
+            # letters, with a space before them, are a word, and so are the marks behind them
+            if word.isalpha() or word[:1] == " " and word[1:].isalpha():
+                split[piece] = (word,) if len(word) == len(piece) else (word, piece[len(word) :])
+            else:
+                split[piece] = self.find(piece)
+        folded = self.fold(list(set(chain.from_iterable(split.values()))))
+        for piece, words in split.items():
+            self.cache[piece] = b"".join([folded[w] for w in words])
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(texts)
+        regular, pieces, begins = pfor_tokens.split_texts(texts)
+        # in other texts white space doesn't part pieces, so their words are found first
+        whole = {i: self.find(t) for i in np.flatnonzero(~regular).tolist() if (t := texts[i].as_py())}
         if len(self.cache) > CACHE:
             self.cache.clear()
-        cache = self.cache
-        for piece in set(chain.from_iterable(split)).difference(cache):
-            cache[piece] = self._fold(piece)
-        return [b"".join(map(cache.__getitem__, pieces)) for pieces in split]
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        cache, distinct = self.cache, pfor_tokens.strings(pieces.dictionary)
+        self._learn(list(set(distinct).union(*whole.values()).difference(cache)))
+        for i, words in whole.items():
+            out[i] = b"".join(map(cache.__getitem__, words))
+        flat, ends = pfor_tokens.gathered(list(map(cache.__getitem__, distinct)), 4, pieces.indices.to_numpy())
+        bounds = ends[begins].tolist()
+        for k, i in enumerate(np.flatnonzero(regular).tolist()):
+            out[i] = flat[bounds[k] : bounds[k + 1]].tobytes()
+        return out
+
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """The pieces of each text's ids, concatenated."""
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        data, ends = pfor_tokens.taken(self.data, self.begin, self.size, flat)
+        raw = data.tobytes()
+        bounds = ends[np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])].tolist()
+        return [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 _folders: dict[tuple[str, str], Folder] = {}
@@ -265,8 +373,8 @@ def _folded(rank_file: str, pattern: str):
             _folders[rank_file, pattern] = Folder(rank_file, pattern)
         folder = _folders[rank_file, pattern]
         for block in common.blocks(batches):
-            ids = folder.encode(block.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), common.binary_array(ids), common.binary_array([folder.decode(x) for x in ids])], names=["doc_id", "ids", "decoded"])
+            ids = folder.encode(block.column("text"))
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), common.binary_array(ids), common.binary_array(folder.decode(ids))], names=["doc_id", "ids", "decoded"])
 
     return run
 

@@ -1,5 +1,6 @@
 import random
 import struct
+import time
 
 import pytest
 import tiktoken
@@ -48,6 +49,30 @@ def test_all_words_in_place(spark, bpe, library, monkeypatch):
         assert got[i] == struct.pack(f"<{len(want)}I", *want)
 
 
+def test_matrix_equals_heap(library):
+    folder = byte_bpe.Folder(path("byte_bpe_50k.tiktoken"), PATTERN)
+    r = random.Random(4)
+    words = list({"".join(r.choice(["the", "er", "on", "é", "ß", "Z", "ing", "x", "qu"]) for _ in range(r.randint(1, 12))) for _ in range(3000)})
+    folded = folder.fold(words)
+    for w in words:
+        raw = w.encode()
+        assert folded[w] == struct.pack(f"<{len(folded[w]) // 4}I", *byte_bpe.fold_bytes(raw, folder.ranks))
+        assert folder.decode([folded[w]]) == [raw]
+        if len(raw) <= byte_bpe.WIDE:
+            assert byte_bpe.fold_bytes(raw, folder.ranks) == library.encode_ordinary(w)
+
+
+def test_long_word(library):
+    folder = byte_bpe.Folder(path("byte_bpe_50k.tiktoken"), PATTERN)
+    r = random.Random(5)
+    word = "".join(r.choice("etaoinshrdlu") for _ in range(80_000))
+    begun = time.perf_counter()
+    got = byte_bpe.fold_bytes(word.encode(), folder.ranks)
+    assert time.perf_counter() - begun < 3
+    assert got[:2000] == library.encode_ordinary(word[:9000])[:2000]  # merges far behind don't reach back
+    assert b"".join(folder.decode([struct.pack(f"<{len(got)}I", *got)])) == word.encode()
+
+
 def test_decode(spark, bpe, library):
     ids = library.encode_ordinary("any text, été")
     assert spark.createDataFrame([(ids,), ([],)], "x array<int>").select(bpe.decode(F.col("x"))).collect()[0][0] == "any text, été".encode()
