@@ -1,17 +1,19 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, without exception.
+"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, beside op8's three bits.
 
-An exact set join by prefixes. All shingles have one fixed order; of a set of `a` shingles the first a - ceil(0.8 a) + 1 are
-its prefix, and two sets that are alike share a shingle of both prefixes (their first common one). Sets that share one are
-candidates where their sizes and the shingle's places allow 0.8, and their whole sets decide.
+SimHash bits can't tell 0.8: such sets differ in about ten of 64 bits. So sets get further keys, sets that share one are
+candidates where their sizes allow 0.8, and whole sets decide. Keys of a set of `a` shingles:
 
-The order puts shingles that a sample of documents often has behind all others, so prefixes hold rare ones. The sample bounds
-work only: any fixed order finds the same pairs.
+- up to SMALL shingles: the first a - ceil(0.8 a) + 1 of them in order of their hashes. Two sets that are alike share one of
+  these, without exception.
+- from 0.8 SMALL shingles on: BANDS bands of ROWS min-hashes each. Two sets that are exactly 0.8 alike miss all of them with a
+  probability of (1 - 0.8 ** ROWS) ** BANDS, 6e-7, and sets that are more alike with less.
 
-Components need no more than a spanning forest, so where a shingle has over WIDE sets, its sets meet one leader first, for
-STARS rounds; only sets that are still in different components then meet each other.
+So any two sets that are alike both have keys of one kind. Components need no more than a spanning forest: of the sets that
+share a key each meets one leader first, for STARS rounds; only sets that are then in different components meet each other.
 
 Words are those of golay_simhash (ASCII lower case, white space); fewer than five make one shingle. Texts without words are
-alike. Equal sets are one node; shingles and sets are told by 64-bit hashes.
+alike. Equal sets are one node; shingles and sets are told by 64-bit hashes. A null doc_id is never the one that stays unless
+its group has no other; rows of equal doc_id and text count as one. Extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +28,13 @@ from pyspark.sql import functions as F
 from . import common, golay_simhash
 
 SHINGLE = 5
-#: Documents whose shingles are counted for the order, and how many of them make a shingle a frequent one.
-SAMPLE = 4096
-OFTEN = 3
-FREQUENT = 1 << 20
-WIDE = 16
-STARS = 3
+SMALL = 40
+BANDS, ROWS = 36, 5
+STARS = 2
 _BASE = 0x9E3779B97F4A7C15
+#: A multiplier for each min-hash, and one for each place in a band.
+_FACTORS = (common.mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
+_PLACES = common.mixed(np.arange(7, 7 + ROWS, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -50,77 +52,61 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(common.mixed(out))
 
 
-def prefix(shingles: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, those in `often` (sorted) behind all others."""
-    if not len(shingles):
-        return shingles
-    late = np.zeros(len(shingles), bool)
-    if len(often):
-        late = often[np.minimum(np.searchsorted(often, shingles), len(often) - 1)] == shingles
-    n = len(shingles) - (4 * len(shingles) + 4) // 5 + 1
-    return np.concatenate([shingles[~late], shingles[late]])[:n]
-
-
 def node(shingles: np.ndarray) -> int:
     """A set's name."""
     return int(common.mixed(np.array([common.mixed(shingles ^ np.uint64(_BASE)).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64))[0])
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in common.blocks(batches):
-        found = np.concatenate([shingle_set(t) for t in block.column("text").to_pylist()])
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
-
-
-def frequent(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Sorted hashes of the shingles that at least OFTEN documents of the sample have, at most FREQUENT of them."""
-    share = int((1 << 30) * min(1.0, sample / max(1, docs.count())))
-    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share).select("text")
-    found = some.mapInArrow(_sampled, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
-    rows = found.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()
-    return np.sort(rows.column("h").to_numpy().view(np.uint64))
-
+def keys(shingles: np.ndarray) -> np.ndarray:
+    """The keys of a sorted set; two sets that are 0.8 alike share one (see above)."""
+    n, out = len(shingles), []
+    if n <= SMALL:
+        out.append(common.mixed(shingles[: n - (4 * n + 4) // 5 + 1] + np.uint64(_BASE)) if n else shingles)
+    if 5 * n >= 4 * SMALL:
+        least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+        low = (shingles >> np.uint64(32)).astype(np.uint32)
+        for lo in range(0, n, 512):
+            least = np.minimum(least, (low[lo : lo + 512, None] * _FACTORS).min(axis=0))
+        bands = least.reshape(BANDS, ROWS).astype(np.uint64)
+        out.append(common.mixed((common.mixed(bands + np.uint64(1)) * _PLACES).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)))
+    return np.concatenate(out)
 
-def _described(often):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in common.blocks(batches):
-            fps, nodes, sizes, prefixes = [], [], [], []
-            for text in block.column("text").to_pylist():
-                shingles = shingle_set(text)
-                fps.append(golay_simhash.fingerprint(golay_simhash.shingle_hashes(text)))
-                nodes.append(node(shingles))
-                sizes.append(len(shingles))
-                prefixes.append(prefix(shingles, often.value).tobytes())
-            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), block.column("text_hash"), long(fps), long(nodes), pa.array(sizes, pa.int64()), common.binary_array(prefixes)],
-                names=["doc_id", "text_hash", "fp", "node", "size", "prefix"],
-            )
 
-    return run
-
-
-def described(docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, fp (as in golay_simhash), node, size and prefix of each row."""
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in common.blocks(batches):
+        fps, nodes, sizes, found = [], [], [], []
+        for text in block.column("text").to_pylist():
+            shingles = shingle_set(text)
+            fps.append(golay_simhash.fingerprint(golay_simhash.shingle_hashes(text)))
+            nodes.append(node(shingles))
+            sizes.append(len(shingles))
+            found.append(keys(shingles).tobytes())
+        long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [block.column("doc_id"), block.column("text_hash"), long(fps), long(nodes), pa.array(sizes, pa.int64()), common.binary_array(found)],
+            names=["doc_id", "text_hash", "fp", "node", "size", "keys"],
+        )
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, fp (as in golay_simhash), node, size and keys of each row."""
     common.small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(often)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        _described(held), "doc_id long, text_hash long, fp long, node long, size long, prefix binary"
+        _described, "doc_id long, text_hash long, fp long, node long, size long, keys binary"
     )
 
 
 def _dealt(parts: int):
-    """Rows (part, rows): shingle, node, size and place of many prefixes' shingles of one part, four 8-byte integers each."""
+    """Rows (part, rows): key, node and size of many sets' keys of one part, three 8-byte integers each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = batch.column("prefix").to_pylist()
+            data = batch.column("keys").to_pylist()
             count = np.array([len(x) // 8 for x in data], np.int64)
             if not count.sum():
                 continue
             h = np.frombuffer(b"".join(data), np.uint64)
-            place = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
-            rows = np.stack([h.view(np.int64), np.repeat(batch.column("node").to_numpy(), count), np.repeat(batch.column("size").to_numpy(), count), place], axis=1)
+            rows = np.stack([h.view(np.int64), np.repeat(batch.column("node").to_numpy(), count), np.repeat(batch.column("size").to_numpy(), count)], axis=1)
             part = (h % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             rows, part = rows[order], part[order]
@@ -131,7 +117,7 @@ def _dealt(parts: int):
 
 
 def met(rows: np.ndarray) -> np.ndarray:
-    """Of rows (shingle, node, size, place) those whose shingle another set of a fitting size has too."""
+    """Of rows (key, node, size) those whose key another set of a fitting size has too."""
     rows = rows[np.lexsort((rows[:, 2], rows[:, 0]))]
     fits = (rows[1:, 0] == rows[:-1, 0]) & (5 * rows[:-1, 2] >= 4 * rows[1:, 2])
     return rows[np.concatenate([fits, [False]]) | np.concatenate([[False], fits])]
@@ -139,9 +125,9 @@ def met(rows: np.ndarray) -> np.ndarray:
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(data: list[bytes]) -> Iterator[pa.RecordBatch]:
-        rows = met(np.frombuffer(b"".join(data), np.int64).reshape(-1, 4))
+        rows = met(np.frombuffer(b"".join(data), np.int64).reshape(-1, 3))
         for lo in range(0, len(rows), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[lo : lo + 100_000, k])) for k in range(4)], names=["h", "node", "size", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[lo : lo + 100_000, k])) for k in range(3)], names=["h", "node", "size"])
 
     now, data = None, []
     for batch in batches:
@@ -161,19 +147,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([block.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
-def _may(a: str, b: str) -> Column:
-    """Whether sizes and places of a shared shingle allow a similarity of 0.8."""
-    size, place = (lambda x: F.col(f"{x}.size")), (lambda x: F.col(f"{x}.place"))
-    return 9 * F.least(size(a) - place(a), size(b) - place(b)) >= 4 * (size(a) + size(b))
+def _is(docs: DataFrame, doc_id: Column, text_hash: Column) -> Column:
+    return docs["doc_id"].cast("long").eqNullSafe(doc_id) & F.xxhash64(docs["text"]).eqNullSafe(text_hash)
+
 
+def sets_of(nodes: DataFrame, docs: DataFrame, held: DataFrame) -> DataFrame:
+    """node and shingles of each of the nodes; the text of one row is read again for each."""
+    some = held.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_hash", "doc_id")).alias("of"))
+    name = common.unused(docs, "of")
+    some = common.stored(some.select("node", F.col("of").alias(name)), "candidates")
+    texts = docs.join(some, _is(docs, some[name]["doc_id"], some[name]["text_hash"])).select(some["node"], docs["text"])
+    return common.stored(texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
-def alike(pairs: DataFrame, docs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are 0.8 alike or more; only their texts are read again, one row's for each node."""
-    names = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    some = common.stored(held.join(names, "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_hash", "doc_id")).alias("of")), "candidates")
-    some = some.select("node", F.col("of.doc_id").alias("_doc"), F.col("of.text_hash").alias("_hash"))
-    texts = docs.join(some, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_hash"))).select("node", docs["text"])
-    sets = texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"])
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are 0.8 alike or more."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -182,64 +170,56 @@ def alike(pairs: DataFrame, docs: DataFrame, held: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, held: DataFrame) -> DataFrame:
     """Links (a, b) between nodes that keep every component of the graph of 0.8 alike sets together."""
-    nodes = held.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    whole = held.agg(F.sum(F.octet_length("prefix") / 8)).collect()[0][0] or 0
+    nodes = held.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    whole = held.agg(F.sum(F.octet_length("keys") / 8)).collect()[0][0] or 0
     parts = max(common.partitions(held), int(whole) // golay_simhash.BUCKET_ROWS + 1)
     dealt = nodes.mapInArrow(_dealt(parts), "part long, rows binary").repartition(parts, "part").sortWithinPartitions("part")
-    rows = common.stored(dealt.mapInArrow(_met, "h long, node long, size long, place long"), "met")
-    held = held.select("doc_id", "text_hash", "node")
-    same = (F.col("x.h") == F.col("y.h")) & _may("x", "y")
+    rows = common.stored(dealt.mapInArrow(_met, "h long, node long, size long"), "met")
+    sets = sets_of(rows.select("node").distinct(), docs, held.select("doc_id", "text_hash", "node"))
+    fits = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & (5 * F.least("x.size", "y.size") >= 4 * F.greatest("x.size", "y.size"))
     pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-
-    def labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-        if roots is None:
-            return rows.withColumn("root", F.col("node"))
-        return rows.join(roots, "node", "left").select(*rows.columns, F.coalesce("now", "node").alias("root"))
-
     found, seen, roots = None, None, None
-    wide = common.stored(rows.join(rows.groupBy("h").count().filter(F.col("count") > WIDE).select("h"), "h", "left_semi"), "wide")
-    for k in range(0 if wide.isEmpty() else STARS):
-        named = labelled(wide, roots)
-        lead = named.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), "node", "size", "place", "root")).alias("l"))
-        lead = lead.select("h", *[F.col("l")[c].alias(c) for c in ("node", "size", "place", "root")])
-        pairs = named.alias("x").join(lead.alias("y"), same & (F.col("x.root") != F.col("y.root"))).select(*pair).distinct()
+    for k in range(STARS + 1):
+        named = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").select(*rows.columns, F.coalesce("now", "node").alias("root"))
+        if k < STARS:
+            lead = named.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), "node", "size", "root")).alias("l"))
+            other, more = lead.select("h", *[F.col("l")[c].alias(c) for c in ("node", "size", "root")]), F.lit(True)
+        else:
+            other, more = named, F.col("x.node") < F.col("y.node")
+        pairs = named.alias("x").join(other.alias("y"), fits & more).select(*pair).distinct()
         pairs = common.stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         seen = pairs if seen is None else seen.union(pairs)
-        good = common.cut(alike(pairs, docs, held))
+        good = common.cut(alike(pairs, sets))
         found = good if found is None else found.union(good)
-        roots = common.stored(golay_simhash.components(found).withColumnRenamed("root", "now"), "roots")
-    named = labelled(rows, roots)
-    met_here = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node"))
-    pairs = named.alias("x").join(named.alias("y"), met_here).select(*pair, F.col("x.size").alias("m"), F.col("y.size").alias("n"), _may("x", "y").alias("may"))
-    # sets share what their prefixes share, and of the set whose prefix ends first at most what follows its prefix
-    pairs = pairs.groupBy("a", "b", "m", "n").agg(F.count("*").alias("c"), F.max("may").alias("may"))
-    pairs = pairs.filter(F.col("may") & (9 * (F.col("c") + F.ceil(4 * F.greatest("m", "n") / 5) - 1) >= 4 * (F.col("m") + F.col("n")))).select("a", "b")
-    pairs = common.stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-    last = alike(pairs, docs, held)
-    return common.cut(last if found is None else found.union(last))
+        if k < STARS:
+            roots = common.stored(golay_simhash.components(found).withColumnRenamed("root", "now"), "roots")
+    return found
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, fp and root (the group's name) of each row: groups of near copies and of golay_simhash's links."""
-    held = common.stored(described(docs, frequent(docs)), "described")
+    held = common.stored(described(docs), "described")
     distinct = common.cut(held.groupBy("fp").agg(F.min("node").alias("node")))
     bits = golay_simhash.links(distinct.select("fp"), distinct.count())
-    name = lambda c: distinct.select(F.col("fp").alias(c), F.col("node").alias(f"of_{c}"))
+    name = lambda c: distinct.select(F.col("fp").alias(c), F.col("node").alias(f"of_{c}"))
     edges = bits.join(name("a"), "a").join(name("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     edges = edges.union(held.select("fp", F.col("node").alias("a")).distinct().join(distinct, "fp").select("a", F.col("node").alias("b")))
-    roots = golay_simhash.components(edges.union(links(docs, held)).filter("a <> b"))
+    roots = common.cut(golay_simhash.components(edges.union(links(docs, held)).filter("a <> b")))
     return held.join(roots, "node", "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "node").alias("root"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row (with all columns) of each group: that of the smallest doc_id (null last), of rows that share it the smaller hash."""
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    rows = groups(docs).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    keep = common.stored(rows.groupBy("root").agg(F.min(F.struct(*[first.getField(c).alias(c) for c in ("none", "doc_id", "text_hash")], "n")).alias("k")), "kept")
-    keep = keep.select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash"), F.col("k.n").alias("keep_n"))
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("keep_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("keep_hash")))
-    if keep.filter("keep_n > 1").isEmpty():
-        return kept.select(*docs.columns)
+    rows = common.stored(groups(docs).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")), "members")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
+    first = first.select(F.col("k.doc_id").alias("doc_id"), F.col("k.text_hash").alias("text_hash"))
+    same = rows["doc_id"].eqNullSafe(first["doc_id"]) & rows["text_hash"].eqNullSafe(first["text_hash"])
+    gone, again = common.unused(docs, "gone"), common.unused(docs, "again")
+    spare = common.stored(rows.join(first, same, "left_anti").select(F.struct("doc_id", "text_hash").alias(gone)), "spare")
+    several = common.stored(rows.join(first, same, "left_semi").filter("n > 1").select(F.struct("doc_id", "text_hash").alias(again)), "several")
+    kept = docs.join(spare, _is(docs, spare[gone]["doc_id"], spare[gone]["text_hash"]), "left_anti")
+    if several.isEmpty():
+        return kept
     # repeated rows of one document: one of them stays
-    once, more = kept.filter("keep_n = 1").select(*docs.columns), kept.filter("keep_n > 1").select(*docs.columns)
-    return once.union(more.dropDuplicates(["doc_id", "text"]))
+    is_several = _is(kept, several[again]["doc_id"], several[again]["text_hash"])
+    return kept.join(several, is_several, "left_anti").union(kept.join(several, is_several, "left_semi").dropDuplicates(["doc_id", "text"]))
