@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,24 +54,47 @@ def appendix_code(x: Column) -> Column:
     return half_digits(nfkc(squash_space(x)))
 
 
+def _digit_class() -> str:
+    """A Java character class of all digits, as Unicode's numeric types have them (circled and raised ones, but no fractions)."""
+    from itertools import groupby
+
+    found = [i for i in range(sys.maxunicode + 1) if chr(i).isdigit()]
+    runs = [[i for _, i in run] for _, run in groupby(enumerate(found), lambda x: x[1] - x[0])]
+    return "[" + "".join(f"\\x{{{r[0]:x}}}-\\x{{{r[-1]:x}}}" for r in runs) + "]"
+
+
+DIGIT = _digit_class()
+
+
+def all_digits(x: Column, least: int = 1, most: int | None = None) -> Column:
+    """Whether a text is digits alone, of any script and form."""
+    return F.coalesce(x.rlike(f"^{DIGIT}{{{least},{'' if most is None else most}}}$"), F.lit(False))
+
+
 def literal_pattern(keyword: str) -> str:
     """A Java pattern that finds `keyword` as it stands, in any case."""
     return "(?iu)\\Q" + keyword.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
 def contains_keyword(x: Column, keyword: str) -> Column:
+    """Whether the text has the keyword, in any case."""
+    if keyword.isascii() and not {"k", "s", "i"} & set(keyword.lower()):  # no letter beyond ASCII folds to these
+        return F.coalesce(F.contains(F.lower(x), F.lit(keyword.lower())), F.lit(False))
     return F.coalesce(x.rlike(literal_pattern(keyword)), F.lit(False))
 
 
 def snippet(text: Column, keyword: str, width: int = 60) -> Column:
-    """The keyword's first place with half of `width` characters on each side; dots where text was cut."""
-    flat = F.regexp_replace(text, "\n", " ")
+    """The keyword's first place with half of `width` characters on each side; dots where text was cut.
+
+    Line feeds become spaces. A keyword with a space may so be found across lines; others are looked up in the text as it is.
+    """
     half = width // 2
-    at = F.locate(keyword.lower(), F.lower(flat)) - 1
+    flat = (lambda x: F.translate(x, "\n", " "))
+    at = F.locate(keyword.lower(), F.lower(flat(text) if " " in keyword else text)) - 1
     start = F.greatest(at - half, F.lit(0))
-    stop = F.least(F.length(flat), at + len(keyword) + half)
-    found = F.concat(F.when(start > 0, "…").otherwise(""), strip_u(F.substr(flat, start + 1, stop - start)), F.when(stop < F.length(flat), "…").otherwise(""))
-    head = F.concat(strip_u(F.substring(flat, 1, width)), F.when(F.length(flat) > width, "…").otherwise(""))
+    stop = F.least(F.length(text), at + len(keyword) + half)
+    found = F.concat(F.when(start > 0, "…").otherwise(""), strip_u(flat(F.substr(text, start + 1, stop - start))), F.when(stop < F.length(text), "…").otherwise(""))
+    head = F.concat(strip_u(flat(F.substring(text, 1, width))), F.when(F.length(text) > width, "…").otherwise(""))
     return F.when(at < 0, head).otherwise(found)
 
 
@@ -184,7 +209,7 @@ def safe_cell(cells: Column, i: Column | int) -> Column:
     return F.coalesce(strip_u(F.get(cells, F.lit(i) if isinstance(i, int) else i)), F.lit(""))
 
 
-#: Codes are one to three letters or digits before a colon, in either width; a name follows.
+#: Fixed value (pattern): codes are one to three letters or digits before a colon, in either width; a name follows.
 CODE_LINE = r"(?U)^([0-9A-Za-z０-９Ａ-Ｚａ-ｚ]{1,3})[:：]\s*(\S.*)$"
 WIDE_LETTERS = "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ"
 NARROW_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"

@@ -1,22 +1,27 @@
-"""Interval joins: values in bands, words in boxes."""
+"""Interval joins: values in bands, words in boxes. A null place lies in no band or box; bands of a key don't overlap."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from .names import unused
+
 
 def band_join(points: DataFrame, bands: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Adds lo and hi of the half-open band [lo, hi) of the same keys that holds `at`, for bands that don't overlap.
 
     Bands and points are merged in order of place, and each point takes the last band begun: a sort instead of a nested loop.
     """
-    b = bands.select(*keys, F.col("lo").alias("_at"), F.lit(0).alias("_kind"), F.struct("lo", "hi").alias("_band"))
-    p = points.withColumn("_at", F.col(at)).withColumn("_kind", F.lit(1))
+    place, kind, band = (unused(n, points, bands) for n in ("place", "kind", "band"))
+    b = bands.select(*keys, F.col("lo").alias(place), F.lit(0).alias(kind), F.struct("lo", "hi").alias(band))
+    p = points.withColumn(place, F.col(at)).withColumn(kind, F.lit(1))
     both = b.unionByName(p, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_band", F.last("_band", ignorenulls=True).over(w)).filter("_kind = 1 and _at >= _band.lo and _at < _band.hi")
-    return out.select(*points.columns, F.col("_band.lo").alias("lo"), F.col("_band.hi").alias("hi"))
+    w = Window.partitionBy(*keys).orderBy(place, kind).rowsBetween(Window.unboundedPreceding, 0)
+    lo, hi = F.col(band)["lo"], F.col(band)["hi"]
+    out = both.withColumn(band, F.last(band, ignorenulls=True).over(w)).filter((F.col(kind) == 1) & (F.col(place) >= lo) & (F.col(place) < hi))
+    return out.select(*points.columns, lo.alias("lo"), hi.alias("hi"))
 
 
 def box_join(points: DataFrame, boxes: DataFrame, x: str, y: str) -> DataFrame:
@@ -35,9 +40,9 @@ def regions(words: DataFrame, rects: DataFrame, page_height: float, least: float
     """page, y_top, y_bot, target_code: bands between thin rules that hold a target code (3 or 4 digits), the topmost one."""
     from .sequence import bands
 
-    edges = rects.filter("height < 2").select("page", F.round("top", 1).alias("top"))
+    edges = rects.filter("height < 2").select("page", F.bround("top", 1).alias("top"))
     found = bands(edges, ["page"], "top", F.lit(page_height), least)
-    token = target if target is not None else F.col("text").rlike(r"^[0-9]{3,4}$")
+    token = target if target is not None else T.all_digits(F.col("text"), 3, 4)
     inside = band_join(words.filter(token), found, ["page"], "top")
     return inside.groupBy("page", "lo", "hi").agg(F.min_by("text", F.struct("top", "x0")).alias("target_code")).select("page", F.col("lo").alias("y_top"), F.col("hi").alias("y_bot"), "target_code")
 

@@ -1,17 +1,19 @@
-"""Differences between versions, upserts and snapshots."""
+"""Differences between versions, upserts and snapshots. A null count is none; null keys match nothing and so stay."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import unused
+
 #: A change of more than one fifth is reported.
 CHANGE = (1, 5)
 
 
 def diff_counts(now: DataFrame, before: DataFrame, key: str, count: str) -> DataFrame:
     """key, count, baseline, delta, status (added, changed, same) and large, for each entity of `now`."""
-    old = before.select(key, F.col(count).alias("baseline"))
+    old = before.select(key, F.coalesce(count, F.lit(0)).alias("baseline"))
     out = now.select(key, F.coalesce(count, F.lit(0)).alias(count)).join(old, key, "left")
     delta = F.col(count) - F.col("baseline")
     status = F.when(F.col("baseline").isNull(), "added").when(delta != 0, "changed").otherwise("same")
@@ -31,18 +33,29 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def seed_snapshot(rows: DataFrame, version: str, source: str, new: str, keep: Column) -> DataFrame:
-    """A new version: the kept rows of another one; no rows if the version is there already."""
-    there = not rows.filter(F.col(version) == new).isEmpty()
-    return rows.filter(F.lit(not there) & (F.col(version) == source) & keep).withColumn(version, F.lit(new))
+def seed_snapshot(rows: DataFrame, version: str, source: str | None, new: str, keep: Column) -> DataFrame:
+    """A new version: the kept rows of `source` (None: the latest other version); no rows if the version is there already.
+
+    The versions are gathered once, as they are few; their rows aren't.
+    """
+    found = sorted(r[0] for r in rows.select(version).filter(F.col(version).isNotNull()).distinct().collect())
+    others = [v for v in found if v != new]
+    source = source if source is not None else (others[-1] if others else None)
+    return rows.filter(F.lit(new not in found) & (F.col(version) == F.lit(source)) & keep).withColumn(version, F.lit(new))
+
+
+def stale(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Distinct keys that only the older table has."""
+    return old.select(key).distinct().join(new.select(key), key, "left_anti")
 
 
 def replace_recovered(fields: DataFrame, recovered: DataFrame, keys: list[str], only: Column | None = None) -> DataFrame:
     """`fields` without the rows that recovered ones replace (of those, only where `only` holds), and the recovered rows."""
-    marks = recovered.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    hit = unused("hit", fields, recovered)
+    marks = recovered.select(*keys).distinct().withColumn(hit, F.lit(True))
     joined = fields.join(marks, keys, "left")
-    gone = F.coalesce("_hit", F.lit(False)) & (only if only is not None else F.lit(True))
-    return joined.filter(~gone).drop("_hit").unionByName(recovered, allowMissingColumns=True)
+    gone = F.coalesce(hit, F.lit(False)) & (only if only is not None else F.lit(True))
+    return joined.filter(~gone).drop(hit).unionByName(recovered, allowMissingColumns=True)
 
 
 def by_priority(parts: list[tuple[str, DataFrame]], keys: list[str], order: list[str]) -> DataFrame:

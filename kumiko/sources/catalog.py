@@ -1,7 +1,12 @@
-"""Snapshots of JSON documents as tables: versions, manifests in both shapes, masters, fields, codes, code tables."""
+"""Snapshots of JSON documents as tables: versions, manifests in both shapes, masters, fields, codes, code tables.
+
+A missing folder is one without snapshots. Readers take a version, so that only its folder is listed and read.
+"""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,16 +31,34 @@ CODE_TABLE = (
 )
 
 
-def _documents(spark: SparkSession, root: str, schema: str, name: str = "*.json") -> DataFrame:
+def files_at(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a pattern matches, on whatever file system it names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or ())
+
+
+def data_root(spark: SparkSession, given: str | None) -> str:
+    """The folder of snapshots: the one given, else `data` here or beside this package, whichever first has a manifest."""
+    if given:
+        return given if "://" in given else str(Path(given).resolve())
+    here, packaged = Path.cwd() / "data", Path(__file__).resolve().parents[1] / "data"
+    return str(next((p for p in (here, packaged) if files_at(spark, f"{p}/*/manifest.json")), here))
+
+
+def _documents(spark: SparkSession, root: str, schema: str, name: str = "*.json", version: str = "*") -> DataFrame:
     """One row for each document; its version is its directory's, which must be eight digits."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(f"{root}/*/{name}")
+    found = files_at(spark, f"{root}/{version}/{name}")
+    if not found:
+        return spark.createDataFrame([], f"snapshot string, file_name string, {schema}")
+    rows = spark.read.schema(schema).option("multiLine", True).json(f"{root}/{version}/{name}")
     where = F.col("_metadata.file_path")
     return rows.select(F.regexp_extract(where, r"/(\d{8})/[^/]+$", 1).alias("snapshot"), F.col("_metadata.file_name").alias("file_name"), "*").filter("snapshot <> ''")
 
 
-def manifests(spark: SparkSession, root: str) -> DataFrame:
+def manifests(spark: SparkSession, root: str, version: str = "*") -> DataFrame:
     """One row for each snapshot, the older shape brought to the newer one while it is read."""
-    m = _documents(spark, root, MANIFEST, "manifest.json")
+    m = _documents(spark, root, MANIFEST, "manifest.json", version)
     given = F.coalesce("sources", F.array().cast(SOURCES))
     stem = F.coalesce(F.nullif(F.regexp_extract("sourcePdf", r"(\d{8})", 1), F.lit("")), F.col("version"))
     old = F.struct(F.lit("master").alias("kind"), "sourcePdf", "sourceUrl", "sourceSha256", stem.alias("sourceVersion"), "extractedAt")
@@ -63,8 +86,8 @@ def code_tables(m: DataFrame) -> DataFrame:
     return flat.select("snapshot", "pos", F.col("x.codeTableId").alias("table_id"), F.col("x.codeTableName").alias("table_name"), F.col("x.kind").alias("kind"), F.col("x.rowCount").alias("row_count"))
 
 
-def fields(spark: SparkSession, root: str) -> DataFrame:
-    docs = _documents(spark, root, MASTER).filter("masterId is not null")
+def fields(spark: SparkSession, root: str, version: str = "*") -> DataFrame:
+    docs = _documents(spark, root, MASTER, version=version).filter("masterId is not null")
     flat = docs.select(F.col("snapshot").alias("version"), F.col("masterId").alias("master_id"), F.posexplode("fields").alias("field_pos", "f"))
     return flat.select("version", "master_id", "field_pos", "f.seq", "f.name", F.col("f.shortName").alias("short_name"), "f.mode", F.col("f.maxBytes").alias("max_bytes"), F.col("f.itemFormat").alias("item_format"), "f.description", F.coalesce("f.codes", F.array().cast(CODES)).alias("codes"), "f.flags")
 
@@ -74,14 +97,14 @@ def codes(of: DataFrame) -> DataFrame:
     return flat.select("version", "master_id", "field_pos", "seq", "code_pos", "c.code", T.code_key(F.col("c.code")).alias("code_norm"), "c.name")
 
 
-def code_pairs(spark: SparkSession, root: str) -> DataFrame:
-    docs = _documents(spark, root, CODE_TABLE).filter("kind = 'codeNamePairs'")
+def code_pairs(spark: SparkSession, root: str, version: str = "*") -> DataFrame:
+    docs = _documents(spark, root, CODE_TABLE, version=version).filter("kind = 'codeNamePairs'")
     flat = docs.select(F.col("snapshot").alias("version"), F.col("codeTableId").alias("table_id"), F.posexplode("codes").alias("pos", "c"))
     return flat.select("version", "table_id", "pos", "c.code", T.code_key(F.col("c.code")).alias("code_norm"), "c.name")
 
 
-def merge_groups(spark: SparkSession, root: str) -> DataFrame:
-    docs = _documents(spark, root, CODE_TABLE).filter("kind = 'nayoseGroups'")
+def merge_groups(spark: SparkSession, root: str, version: str = "*") -> DataFrame:
+    docs = _documents(spark, root, CODE_TABLE, version=version).filter("kind = 'nayoseGroups'")
     flat = docs.select(F.col("snapshot").alias("version"), F.col("codeTableId").alias("table_id"), F.posexplode("groups").alias("group_pos", "g"))
     return flat.select("version", "table_id", "group_pos", F.col("g.targetCode").alias("target_code"), F.col("g.targetName").alias("target_name"), F.col("g.note").alias("note"), F.col("g.sources").alias("sources"), F.size("g.sources").alias("n_sources"))
 
