@@ -1,8 +1,12 @@
-"""Rows out of rows: zipped lists, ranges of numbers, records out of table cells."""
+"""Rows out of rows: zipped lists, ranges of numbers, records out of table cells.
+
+Defined results. Null cells are empty; a null list is as one without elements, and gives empty strings. Ranges that are null, empty
+or not shared evenly give no rows. Of header cells that say the same the last one counts. Empty tables give none.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -43,12 +47,46 @@ def header_only(cells: Column, words: list[str]) -> Column:
     return (F.size(some) > 0) & F.forall(some, lambda c: c.isin(*words))
 
 
+#: A header over several columns, and the columns of a second header row (as printed, in full width).
+SPANNING = "形式"
+SECOND = {"モード": "mode_raw", "最大バイト": "max_bytes_raw", "項目形式": "item_format_raw"}
+FIRST = {"項番": "seq_raw", "項目名": "name", "内容": "content"}
+
+
+def _wide(cell: Column) -> Column:
+    """A header cell without white space, its words in full width."""
+    out = T.squash_space(F.coalesce(cell, F.lit("")))
+    for narrow, wide in (("ﾓｰﾄﾞ", "モード"), ("ﾊﾞｲﾄ", "バイト")):
+        out = F.replace(out, F.lit(narrow), F.lit(wide))
+    return out
+
+
+def is_second_header(cells: Column) -> Column:
+    return F.exists(F.transform(cells, _wide), lambda c: c.contains("モード"))
+
+
+def _last_wins(entries: Column) -> Column:
+    """A map of entries (k, v); of equal keys the last."""
+    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"]))
+
+
+def two_row_map(first: Column, second: Column) -> Column:
+    """column_map of a header of two rows; the column after the name is `sub_name` where the mode stands further on."""
+    named = column_map(first, FIRST)
+    pairs = F.create_map(*(F.lit(x) for kv in SECOND.items() for x in kv))
+    below = F.transform(F.transform(second, _wide), lambda c, i: F.struct(F.try_element_at(pairs, c).alias("k"), i.alias("v")))
+    both = F.map_concat(F.map_filter(named, lambda k, _: ~k.isin(*SECOND.values(), "sub_name")), _last_wins(F.filter(below, lambda e: e["k"].isNotNull())))
+    name, mode = F.try_element_at(both, F.lit("name")), F.try_element_at(both, F.lit("mode_raw"))
+    return F.when(mode > name + 1, F.map_concat(both, F.create_map(F.lit("sub_name"), name + 1))).otherwise(both)
+
+
 def column_map(header: Column, names: dict[str, str]) -> Column:
     """map of our column names to 0-based places in a header row; other headers that aren't empty map to themselves."""
     flat = F.transform(header, lambda c: T.squash_space(F.coalesce(c, F.lit(""))))
     pairs = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
     entries = F.transform(flat, lambda c, i: F.struct(F.coalesce(F.try_element_at(pairs, c), c).alias("k"), i.alias("v")))
-    return F.map_from_entries(F.filter(entries, lambda e: e["k"] != ""))
+    return _last_wins(F.filter(entries, lambda e: (e["k"] != "") & (e["k"] != SPANNING)))
 
 
 def row_record(cells: Column, places: Column, names: list[str]) -> Column:
@@ -59,21 +97,42 @@ def row_record(cells: Column, places: Column, names: list[str]) -> Column:
     return F.struct(*known, filled.alias("flags"))
 
 
+def _first_header(cells: DataFrame, head: str, rows: str) -> DataFrame:
+    w = Window.partitionBy("doc", "page", "table_no")
+    found = F.min(F.when(is_header(F.col("cells")) & (F.col("row_no") < 3), F.col("row_no"))).over(w)
+    return cells.withColumn(head, found).withColumn(rows, F.count("*").over(w)).filter(F.col(head).isNotNull() & (F.col(rows) >= 3))
+
+
 def table_rows(cells: DataFrame, names: dict[str, str]) -> DataFrame:
     """Records of tables that have a header in one of their first three rows and three rows at least.
 
     cells: doc, page, table_no, row_no, cells. Rows without any text are left out.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("doc", "page", "table_no")
-    head = F.min(F.when(is_header(F.col("cells")) & (F.col("row_no") < 3), F.col("row_no"))).over(w)
-    known = cells.withColumn("_head", head).withColumn("_rows", F.count("*").over(w)).filter("_head is not null and _rows >= 3")
+    known = _first_header(cells.select("doc", "page", "table_no", "row_no", "cells"), "_head", "_rows")
     header = F.max(F.when(F.col("row_no") == F.col("_head"), F.col("cells"))).over(w)
     body = known.withColumn("_header", header).filter("row_no > _head").filter(F.trim(F.array_join("cells", "")) != "")
     return body.select("doc", "page", "table_no", "row_no", row_record(F.col("cells"), column_map(F.col("_header"), names), list(names.values())).alias("r")).select("doc", "page", "table_no", "row_no", "r.*")
 
 
+def field_rows(cells: DataFrame) -> DataFrame:
+    """doc, page, table_no, row_no, seq_raw, name, sub_name, mode_raw, max_bytes_raw, item_format_raw, content and flags of tables
+    with a header of two rows.
+
+    The first row stands among a table's first three rows, the second is the next of these that names a mode, else the row
+    after the first. Other headers are flags. Rows in which no named column holds anything are left out.
+    """
+    w = Window.partitionBy("doc", "page", "table_no")
+    known = _first_header(cells.select("doc", "page", "table_no", "row_no", "cells"), "_head", "_rows")
+    named = F.min(F.when((F.col("row_no") > F.col("_head")) & (F.col("row_no") < 3) & is_second_header(F.col("cells")), F.col("row_no"))).over(w)
+    known = known.withColumn("_second", F.coalesce(named, F.col("_head") + 1))
+    pick = lambda at: F.max(F.when(F.col("row_no") == F.col(at), F.col("cells"))).over(w)
+    body = known.withColumns({"_top": pick("_head"), "_below": F.coalesce(pick("_second"), F.array().cast("array<string>"))}).filter("row_no > _second")
+    columns = ["seq_raw", "name", "sub_name", *SECOND.values(), "content"]
+    rows = body.select("doc", "page", "table_no", "row_no", row_record(F.col("cells"), two_row_map(F.col("_top"), F.col("_below")), columns).alias("r")).select("doc", "page", "table_no", "row_no", "r.*")
+    return rows.filter(F.concat(*columns) != "")
+
+
 def pairs_first_wins(cells: DataFrame, table: str = "table_id") -> DataFrame:
     """code and name of each row that begins with a number; of equal codes of a table the first in document order."""
     from .lookup import first_of

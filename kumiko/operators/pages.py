@@ -1,4 +1,7 @@
-"""Pages of documents: kinds, runs of equal kind, sections by their headings, and what a section lacks."""
+"""Pages of documents: kinds, runs of equal kind, sections by their headings, and what a section lacks.
+
+Defined results. Null texts are empty. Pages are told by doc and page, which are unique. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -43,6 +46,53 @@ def page_ranges(kinds: DataFrame) -> DataFrame:
     return runs.groupBy("doc", "kind", "_base").agg(F.min("page").alias("start"), F.max("page").alias("stop")).drop("_base")
 
 
+#: Fixed values (patterns): a master's heading, and that of a sub-table.
+MASTER_HEADING = r"(?U)^[（(]\s*[０-９0-9]+\s*[）)]\s*([^\s（(]+?マスター)"
+TABLE_HEADING = r"(?U)^([アイウエオカキクケコサシスセソタチツテト])\s+(.+?テーブル.*?)$"
+
+
+def page_lines(text: Column) -> Column:
+    """The lines of a page layout: they end at a line feed, a carriage return, a form feed or Unicode's own separators."""
+    lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]")
+    return F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+
+
+def layout_lines(pages: DataFrame, sections: DataFrame) -> DataFrame:
+    """section, line_no, line of each section's pages in order. pages: doc, page, text. sections: doc, section, start, stop."""
+    inside = pages.join(sections.select("doc", "section", "start", "stop"), "doc").filter(F.col("page").between(F.col("start"), F.col("stop")))
+    lines = inside.select("doc", "section", "page", F.posexplode(page_lines(F.col("text"))).alias("at", "line"))
+    number = F.row_number().over(Window.partitionBy("doc", "section").orderBy("page", "at")) - 1
+    return lines.select("section", number.alias("line_no"), "line")
+
+
+def headings(pages: DataFrame, ids: dict[str, str], with_tables: tuple[str, ...] = ()) -> DataFrame:
+    """doc, page, pos, section, name, sub_name: the heading that each page begins a section with.
+
+    It is the page's first line that is a heading of a known master (`ids`: name to id) or, while the last such master is one of
+    `with_tables`, a heading of a sub-table; its section is the master's id and the sub-table's label. Which lines count depends
+    on the pages before, so a document's pages with such lines are folded in order; there is a row for each of them.
+    """
+    lines = pages.select("doc", "page", F.posexplode(T.split_lines(F.coalesce("text", F.lit("")))).alias("pos", "line"))
+    known = F.create_map(*(F.lit(x) for kv in ids.items() for x in kv))
+    master, label = F.regexp_extract("line", MASTER_HEADING, 1), F.regexp_extract("line", TABLE_HEADING, 1)
+    found = lines.select("doc", "page", "pos", F.when(F.array_contains(F.lit(list(ids)), master), master).alias("master"), F.nullif(label, F.lit("")).alias("label"), F.nullif(F.trim(F.regexp_extract("line", TABLE_HEADING, 2)), F.lit("")).alias("table"))
+    of_page = found.filter("master is not null or label is not null").groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "master", "label", "table"))).alias("lines"))
+    of_doc = of_page.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "lines"))).alias("pages"))
+    kind = "struct<now:string,out:array<struct<page:int,pos:int,name:string,label:string,sub_name:string>>>"
+
+    def step(state: Column, page: Column) -> Column:
+        may = F.coalesce(state["now"].isin(*with_tables), F.lit(False)) if with_tables else F.lit(False)
+        first = F.get(F.filter(page["lines"], lambda x: x["master"].isNotNull() | may), F.lit(0))
+        now = F.coalesce(first["master"], state["now"])
+        sub = first["master"].isNull()
+        new = F.struct(page["page"].cast("int").alias("page"), first["pos"].alias("pos"), now.alias("name"), F.when(sub, first["label"]).alias("label"), F.when(sub, first["table"]).alias("sub_name"))
+        return F.when(first.isNull(), state).otherwise(F.struct(now.alias("now"), F.concat(state["out"], F.array(new)).alias("out"))).cast(kind)
+
+    start = F.struct(F.lit(None).cast("string").alias("now"), F.array().alias("out")).cast(kind)
+    rows = of_doc.select("doc", F.explode(F.aggregate("pages", start, step)["out"]).alias("r")).select("doc", "r.*")
+    return rows.select("doc", "page", "pos", F.concat_ws("_", F.try_element_at(known, F.col("name")), "label").alias("section"), "name", "sub_name")
+
+
 def sections(pages: DataFrame, headings: DataFrame) -> DataFrame:
     """doc, section, start, stop: a section begins at the first page with its heading and ends before the next section; the
     last one ends before the first appendix page after it, or with the document.

@@ -15,6 +15,11 @@ FLAGS = "map<string,string>"
 CODES = "array<struct<code:string,name:string>>"
 
 
+def filled(flags: Column) -> Column:
+    """The flags that say something."""
+    return F.map_filter(flags, lambda _, v: v != "")
+
+
 def lists_of(row: str = "") -> dict[str, Column]:
     """The lines of each listed column of a raw row (or of the struct `row`)."""
     at = lambda n: F.coalesce(F.col(f"{row}{n}"), F.lit(""))
@@ -102,5 +107,5 @@ def as_fields(rows: DataFrame, lineage: str, codes: bool = True) -> DataFrame:
         "section", "seq", F.concat_ws("/", name, sub).alias("name"), F.when(name.isNotNull(), sub).alias("short_name"),
         T.mode_of(F.array_join(T.joined_modes(T.split_lines(F.coalesce("mode_raw", F.lit("")))), "")).alias("mode"),
         T.byte_size(F.col("max_bytes_raw"))["size"].alias("max_bytes"), F.nullif("item_format_raw", F.lit("")).alias("item_format"), F.nullif("content", F.lit("")).alias("description"),
-        (T.code_lines(F.col("content")) if codes else F.array().cast(CODES)).alias("codes"), F.map_filter("flags", lambda _, v: v != "").alias("flags"), F.lit(lineage).alias("lineage"), "field_pos",
+        (T.code_lines(F.col("content")) if codes else F.array().cast(CODES)).alias("codes"), filled(F.col("flags")).alias("flags"), F.lit(lineage).alias("lineage"), "field_pos",
     )

@@ -116,7 +116,7 @@ def master_documents(masters: DataFrame, fields: DataFrame) -> DataFrame:
     max_bytes, item_format, description, codes, flags.
     """
     field = F.struct("field_pos", F.struct("seq", "name", F.col("short_name").alias("shortName"), "mode", F.col("max_bytes").alias("maxBytes"), F.col("item_format").alias("itemFormat"), "description", F.when(F.size("codes") > 0, F.col("codes")).alias("codes"), F.when(F.size(F.map_keys("flags")) > 0, F.col("flags")).alias("flags")).alias("f"))
-    lists = fields.groupBy("master_id").agg(F.transform(F.array_sort(F.collect_list(field)), lambda x: x["f"]).alias("fields"))
+    lists = fields.groupBy("master_id").agg(F.transform(F.array_sort(F.collect_list(field), lambda a, b: a["field_pos"] - b["field_pos"]), lambda x: x["f"]).alias("fields"))
     whole = masters.join(lists, "master_id", "left")
     body = F.struct(F.col("master_id").alias("masterId"), F.col("master_name").alias("masterName"), F.col("sub_name").alias("subName"), F.struct("start", F.col("stop").alias("end")).alias("pages"), F.coalesce("fields", F.array().cast(lists.schema["fields"].dataType)).alias("fields"))
     return whole.orderBy("pos").select("master_id", F.to_json(body).alias("body"))
