@@ -12,8 +12,8 @@ to its model, such as an end mark) go through it whole.
 
 Files are written under a name of their own for each attempt and moved to the final name, so a task may run again.
 
-Defined results. Null and empty texts have no ids but the end id. Rows with equal doc_id stand in order of their text; a null
-doc_id comes first. Extra columns are ignored.
+Defined results. Null and empty texts have no ids but the end id. Rows with equal doc_id stand in order of their text's length, then
+of the text (a null one first); a null doc_id comes first. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -365,7 +365,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
     common.small_batches(spark)
     files, where = fs.FileSystem.from_uri(folder)
     files.create_dir(where, recursive=True)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(common.partitions(docs), "doc_id", F.length("text")).sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.length("text")]  # ranges are cut by both, so rows sort by both
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(common.partitions(docs), *order).sortWithinPartitions(*order, "text")
     rows = ordered.mapInArrow(_write(tokenizer, folder, end_id), "part long, path string, n_ids long").collect()
     out, before = [], 0
     for _, path, n in sorted(map(tuple, rows)):

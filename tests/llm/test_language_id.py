@@ -70,3 +70,48 @@ def test_many_languages_are_learned_and_calibration_is_held_out(spark, monkeypat
     assert model.languages == sorted({lang for _, _, lang in rows})
     assert {lang for _, lang in tested} == set(model.languages) - {"l000"}
     assert all(text.split()[0] not in counted[lang] for text, lang in tested)
+
+
+def plain_model(words):
+    """Interpolated Kneser-Ney of one language over plain dictionaries: P(character | characters before it)."""
+    order = li.ORDER
+    grams = {n: Counter() for n in range(1, order + 1)}
+    for w, k in words.items():
+        padded = " " * (order - 1) + w + " "
+        for i in range(order - 1, len(padded)):
+            grams[order][padded[i - order + 1 : i + 1]] += k
+    for n in range(order - 1, 0, -1):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])  # distinct characters seen to the left
+    discount = {}
+    for n, counts in grams.items():
+        once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+        discount[n] = once / (once + 2 * twice) if once else 0.5
+
+    def p(context, char, n, size):
+        if n == 0:
+            return 1 / size
+        of = context[len(context) - n + 1 :] if n > 1 else ""
+        after = {g: c for g, c in grams[n].items() if g[:-1] == of}
+        low = p(context, char, n - 1, size)
+        if not after:
+            return low
+        total, d = sum(after.values()), discount[n]
+        return max(after.get(of + char, 0) - d, 0) / total + d * len(after) / total * low
+
+    return p
+
+
+def test_against_plain_kneser_ney():
+    counts = {lang: Counter(w for t in texts(lang, 12, 5) for w in t.lower().strip(".").split()) for lang in VOWELS}
+    model = li.fit(counts)
+    plain = {lang: plain_model(counts[lang]) for lang in counts}
+    some = [*list(counts["aa"])[:6], *list(counts["bb"])[:6], "bab", "zzz", "ö"]
+    got = model.word_scores(some)
+    for i, w in enumerate(some):
+        padded = " " * (li.ORDER - 1) + w + " "
+        for j, lang in enumerate(model.languages):
+            want = -sum(np.log2(plain[lang](padded[:k], padded[k], li.ORDER, model.characters)) for k in range(li.ORDER - 1, len(padded)))
+            assert abs(got[i, j] - want) < 1e-3 * max(1, want)
+    h, length = model.entropies(["bab zzz.", None])
+    assert length.tolist() == [8, 0]
+    assert np.allclose(h[0], (got[some.index("bab")] + got[some.index("zzz")]) / 8, atol=1e-4)

@@ -59,5 +59,21 @@ def test_query(spark):
     assert got == want
 
 
+def test_many_rows_of_one_id(spark):
+    r = random.Random(6)
+    rows = [(7, "w" * r.randint(0, 40) + r.choice("xyz")) for _ in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    want = [zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()) for _, x in sorted(rows, key=lambda x: (len(x[1]), x[1]))]
+    assert [x["ids_crc32"] for x in sorted(packed_tokens(df, path("byte_bpe_50k.json")).collect(), key=lambda x: x["start"])] == want
+
+
+def test_added_tokens_are_the_tokenizers_own():
+    tokens = pfor_tokens.Tokens(path("byte_bpe_50k.json"))
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext| > c", "plain words"]
+    assert [x.tolist() for x in tokens.ids(pa.array(texts))] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_empty(spark):
     assert packed_tokens(spark.createDataFrame([], "doc_id long, text string"), path("byte_bpe_50k.json")).count() == 0

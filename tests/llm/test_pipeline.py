@@ -1,6 +1,12 @@
+import hashlib
 import random
+import struct
 
+import public_tokenizers
 import pytest
+import tiktoken
+
+from kumiko.llm import byte_bpe
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -43,6 +49,27 @@ def test_stages(spark, tmp_path):
     assert after[200]["text"] == clean[0][1]
     assert ids["decontaminate"] == ids["suffix_dedup"] - {304}
     assert ids["encode"] == ids["decontaminate"]
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    for i, x in seen["encode"].items():
+        text = seen["decontaminate"][i]["text"] or ""
+        raw = struct.pack(f"<{x['n_tokens']}I", *library.encode_ordinary(text))
+        assert (x["ids"], x["ids_sha256"], x["decoded_sha256"]) == (raw, hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_extra_columns_and_a_long_text(spark, tmp_path):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    docs = [(i, " ".join(word() for _ in range(40))) for i in range(8)] + [(9, " ".join(word() for _ in range(30_000)))]
+    tables(spark, tmp_path, docs)
+    names = ["label", "row", "mark", "open", "found", "settled", "spans", "items", "n_words", "fp", "node", "gone", "keys", "h", "at"]
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", *(f"doc_id + {k} AS {n}" for k, n in enumerate(names)))
+    columns = now.columns
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        now = stage(spark, now, f"file://{tmp_path}")
+        assert now.columns == columns, name
+        now.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+    assert {x["doc_id"]: (x["text"], x["label"], x["at"]) for x in now.collect()} == {i: (t, i, i + 14) for i, t in docs}
 
 
 def test_empty_tables(spark, tmp_path):
