@@ -3,7 +3,7 @@
 Documents begin in the shard that their id's hash gives, in proportion to the shards' room. In each round a linked document wants to go where most of its
 neighbours are; neighbours are the documents of equal text, so a text's count in each shard (one join, one sum) tells. Shards
 take what their quota allows: texts are accepted in order of their hash until the histogram of wants by hash reaches the
-room that is left, counting in what wants to leave. A text with more documents than a shard's quota can't go to one shard; its documents fill shards one after
+room that is left, counting in what wants to leave. Rounds go on until none is accepted. A text with more documents than a shard's quota can't go to one shard; its documents fill shards one after
 another, so it is cut as few times as can be. Documents without links then move to even the counts out: law `rows`, counts
 of any two shards are at most one apart.
 
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from . import common
 
 SHARDS = 16
-ROUNDS = 3
 #: Slices of the hash by which wants are accepted.
 SLICES = 4096
 #: A text with more than this part of a shard's quota is placed by itself.
@@ -63,7 +62,7 @@ def _lookup(values: dict[int, int] | list[int]):
     return F.array(*[F.lit(int(x)) for x in items])
 
 
-def propagate(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def propagate(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each row of `docs`."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select(
@@ -95,7 +94,7 @@ def propagate(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
     linked = linked.select("link", "slice", "doc_id", "size", "text_crc32", _home(room).alias("shard"))
     # members of a text are interchangeable, so a round needs only how many are in each shard
     held = common.cut(linked.groupBy("link", "slice", "shard").agg(F.count("*").alias("n")).withColumn("home", F.col("shard")))
-    for _ in range(rounds):
+    while True:  # a text moves once at most, as all of it is in one shard then
         sizes = {r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         votes = held.groupBy("link", "shard").agg(F.sum("n").alias("n"))
         best = votes.groupBy("link").agg(F.max(F.struct("n", F.pmod(F.xxhash64("link", "shard"), F.lit(1 << 20)), "shard")).alias("b")).select("link", F.col("b.shard").alias("want"))
@@ -103,10 +102,10 @@ def propagate(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
         rows = wanted.filter("shard <> want").groupBy("want", "slice").agg(F.sum("n").alias("n")).collect()  # shards * SLICES at most
         leaving = {r["shard"]: r["n"] for r in wanted.filter("shard <> want").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         limit = _accepted(rows, [room[s] - sizes.get(s, 0) + leaving.get(s, 0) for s in range(shards)])
+        if not any(r["slice"] < limit[r["want"]] for r in rows):
+            break
         moved = F.when(F.col("slice") < F.element_at(_lookup(limit), F.col("want") + 1), F.col("want")).otherwise(F.col("shard"))
         held = common.cut(wanted.select("link", "slice", moved.alias("shard"), "n", "home"))
-        if not rows:
-            break
     moves = held.groupBy("link", "home").agg(F.first("shard").alias("to"))  # a text's members of one home move together
     placed = linked.withColumnRenamed("shard", "home").join(moves, ["link", "home"]).select("doc_id", "size", "text_crc32", F.col("to").alias("shard"))
 
