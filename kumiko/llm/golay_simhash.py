@@ -1,10 +1,12 @@
 """Near duplicates by SimHash fingerprints and Golay-code fuzzy hashing.
 
 A fingerprint's 64 bits are cut into segments of 23, 23 and 18 bits. The binary Golay code (23, 12) is perfect: each 23-bit
-word is within three bits of one codeword. A segment's keys are the codeword indices of the word itself and of all words one
-bit away (six at most); two segments at most one bit apart share the key of either. Of three errors over three segments two
-segments have one at most each (pigeonhole), so fingerprints within three bits share a pair of keys in one of the three pairs
-of segments: a key of 24 bits. Fingerprints that share one are compared bit by bit.
+word is within three bits of one codeword. A segment's indices are those of the codewords of the word itself and of all words
+one bit away (six at most); two segments at most one bit apart share the index of either. Three errors over three segments
+either leave a segment without any, and of the other two one with one at most, or there is one in each (pigeonhole). So
+fingerprints within three bits share a key of one of two kinds: a whole segment with an index of another, or an index of each
+of the first two with a half of the third that has no error. A key fixes 30 bits or more of 64, so buckets stay small
+where fingerprints are many. Those that share a key are compared bit by bit.
 
 Only distinct fingerprints are keyed, so copies never meet. In each bucket a search from member to member gives a spanning
 forest of its links, not all pairs: a dense family costs a row for each member, and all links count for the components.
@@ -117,20 +119,28 @@ _golay: list[Golay] = []
 
 
 def pair_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (pair of segments, two codeword indices) and, for each, the place of its fingerprint."""
+    """Keys (kind of key, what it fixes) and, for each, the place of its fingerprint."""
     if not _golay:
         _golay.append(Golay())
-    shift, parts = 0, []
+    shift, words, near = 0, [], []
     for bits in SEGMENTS:
-        parts.append(_golay[0].keys((fps >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64), bits))
+        words.append((fps >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64))
+        near.append(_golay[0].keys(words[-1], bits))
         shift += bits
-    keys, of = [], []
-    for pair, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        a, b = parts[i][:, :, None], parts[j][:, None, :]
-        good = (a >= 0) & (b >= 0)
-        key = (np.int64(pair) << 24) | (a << 12) | b
-        keys.append(key[good])
+    keys, of, kind = [], [], 0
+
+    def add(key: np.ndarray, good: np.ndarray) -> None:
+        nonlocal kind
+        keys.append((np.int64(kind) << 40 | key)[good])
         of.append(np.nonzero(good)[0])
+        kind += 1
+
+    for i, j in ((0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1)):  # segment i as it is, j up to one error
+        add(words[i][:, None] << 12 | np.maximum(near[j], 0), near[j] >= 0)
+    a, b = near[0][:, :, None], near[1][:, None, :]
+    half = SEGMENTS[2] // 2
+    for part in (words[2] & ((1 << half) - 1), words[2] >> half):  # one error in each segment: half of the third has none
+        add((part[:, None, None] << 24) | (np.maximum(a, 0) << 12) | np.maximum(b, 0), (a >= 0) & (b >= 0))
     return np.concatenate(keys), np.concatenate(of)
 
 
@@ -258,19 +268,3 @@ def golay_simhash(docs: DataFrame) -> DataFrame:
     label = found.select("fp", "root").join(least, "root").select("fp", "component_id")
     whole = distinct.join(label, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return held.join(whole, "fp").select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row (with all columns) of each component: that of the smallest doc_id, of rows that share it the smaller hash."""
-    found = golay_simhash(docs)
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "fingerprint")
-    # a component without any doc_id is told by its fingerprint's component of nulls
-    rows = common.stored(found.groupBy("doc_id", "text_hash", "fingerprint", "component_id").agg(F.count("*").alias("n")), "groups")
-    keep = rows.groupBy("component_id").agg(F.min(F.struct(*[first.getField(c).alias(c) for c in ("none", "doc_id", "text_hash")], "n")).alias("k"))
-    keep = keep.select(F.col("k.doc_id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash"), F.col("k.n").alias("keep_n"))
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(F.col("keep_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("keep_hash")))
-    if keep.filter("keep_n > 1").isEmpty():
-        return kept.select(*docs.columns)
-    # repeated rows of one document: one of them stays
-    once, more = kept.filter("keep_n = 1").select(*docs.columns), kept.filter("keep_n > 1").select(*docs.columns)
-    return once.union(more.dropDuplicates(["doc_id", "text"]))
