@@ -36,7 +36,7 @@ LEAST_DOCUMENTS = 3
 BEGINNINGS = (4, 5, 6)
 FOLDS = 3
 STRENGTH = 1e-4
-STEPS = 400
+STEPS, TOLERANCE = 100, 1e-5
 THRESHOLD = 0.5
 #: Words whose features a worker remembers at most.
 CACHE = 1 << 19
@@ -72,20 +72,49 @@ class Linear:
 
 
 def fit_linear(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, n_features: int, before: np.ndarray) -> Linear:
-    """Fits by Adam on all rows; rows and columns: where features are present."""
+    """Fits by limited-memory BFGS on all rows; rows and columns: where features are present."""
     n, share = len(labels), float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         return Linear(np.zeros(n_features), np.zeros(before.shape[1]), 40.0 if share else -40.0)
-    x = np.zeros(n_features + before.shape[1] + 1)
-    x[-1] = np.log(share / (1 - share))
-    m, v = np.zeros_like(x), np.zeros_like(x)
-    for step in range(1, STEPS + 1):
-        model = Linear(x[:n_features], x[n_features:-1], x[-1])
-        error = (_sigmoid(model.scores(rows, columns, n, before)) - labels) / n
+    sign = 1 - 2 * labels
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        scores = Linear(x[:n_features], x[n_features:-1], x[-1]).scores(rows, columns, n, before)
+        error = (_sigmoid(scores) - labels) / n
         g = np.concatenate([np.bincount(columns, error[rows], n_features), before.T @ error, [error.sum()]])
         g[:-1] += STRENGTH * x[:-1]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        x = x - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        return float(np.logaddexp(0, sign * scores).mean() + STRENGTH / 2 * (x[:-1] @ x[:-1])), g
+
+    x = np.zeros(n_features + before.shape[1] + 1)
+    x[-1] = np.log(share / (1 - share))
+    value, g = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []  # steps, changes of the gradient
+    for _ in range(STEPS):
+        if np.abs(g).max() < TOLERANCE:
+            break
+        d, kept = g.copy(), []
+        for s, y, r in reversed(past):
+            kept.append(r * (s @ d))
+            d -= kept[-1] * y
+        if past:
+            s, y, r = past[-1]
+            d *= 1 / (r * (y @ y))
+        for (s, y, r), a in zip(past, reversed(kept), strict=True):
+            d += (a - r * (y @ d)) * s
+        slope, step = g @ d, 1.0 if past else min(1.0, 1.0 / np.abs(g).sum())
+        while True:
+            new = x - step * d
+            new_value, new_g = loss(new)
+            if new_value <= value - 1e-4 * step * slope or step < 1e-10:
+                break
+            step /= 2
+        s, y = new - x, new_g - g
+        if s @ y > 1e-12:
+            past = [*past[-9:], (s, y, 1 / (s @ y))]
+        done = value - new_value < 1e-10
+        x, value, g = new, new_value, new_g
+        if done:
+            break
     return Linear(x[:n_features], x[n_features:-1], float(x[-1]))
 
 

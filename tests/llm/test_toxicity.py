@@ -49,3 +49,42 @@ def test_without_labels(spark):
     chain = toxicity.train(df, none)
     assert toxicity.score(df, chain).collect()[0]["toxic"] is False
     assert toxicity.score(df.limit(0), chain).count() == 0
+
+
+def plain_fit(x, y, strength):
+    """The same logistic model by plain Newton steps over a dense matrix; the last column is the bias."""
+    w = np.zeros(x.shape[1])
+    w[-1] = np.log(y.mean() / (1 - y.mean()))
+    ridge = np.full(x.shape[1], strength)
+    ridge[-1] = 0
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x / len(y) + np.diag(ridge + 1e-12), x.T @ (p - y) / len(y) + ridge * w)
+        w = w - min(1.0, 5 / max(1e-9, np.abs(step).max())) * step
+        if np.abs(step).max() < 1e-10:
+            break
+    return w
+
+
+def test_chain_against_dense_newton(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "STRENGTH", 0.01)
+    docs, labels = corpus(240, 7)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    chain = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), most=60)
+    names = sorted(chain.features, key=chain.features.get)
+    x = np.array([[f in toxicity.text_features(t) for f in names] for _, t in docs], float)
+    one, fold = np.ones((len(x), 1)), np.array([toxicity.zlib.crc32(str(i).encode()) % toxicity.FOLDS for i, _ in docs])
+    y = np.array([[1 - q, t] for _, q, t in labels], float)
+    # the second category is fitted with the first one's probabilities of folds that its model hasn't seen
+    unseen = np.zeros(len(x))
+    for k in range(toxicity.FOLDS):
+        inside = fold != k
+        w = plain_fit(np.hstack([x, one])[inside], y[inside, 0], 0.01)
+        unseen[~inside] = 1 / (1 + np.exp(-(np.hstack([x, one]) @ w)[~inside]))
+    first = plain_fit(np.hstack([x, one]), y[:, 0], 0.01)
+    second = plain_fit(np.hstack([x, unseen[:, None], one]), y[:, 1], 0.01)
+    p0 = 1 / (1 + np.exp(-np.hstack([x, one]) @ first))
+    p1 = 1 / (1 + np.exp(-np.hstack([x, p0[:, None], one]) @ second))
+    got = {r["doc_id"]: r for r in toxicity.score(df, chain).collect()}
+    assert max(abs(got[i]["p_low_quality"] - p0[i]) for i, _ in docs) < 5e-3
+    assert max(abs(got[i]["p_toxic"] - p1[i]) for i, _ in docs) < 5e-3
