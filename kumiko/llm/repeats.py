@@ -180,7 +180,8 @@ def given_id(doc_id: Column) -> Column:
 def marked(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, the text and its mark, which tells rows of one doc_id apart; and, if asked for, the whole row in `row`."""
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    cols = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(mark, F.lit(NO_IDS))).alias("doc_id"), F.col("text"), mark.alias("mark")]
+    # never null as Spark sees it, so both joins of the texts read one exchange
+    cols = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).bitwiseOR(mark.bitwiseAND(F.lit(NO_IDS - 1)))).alias("doc_id"), F.col("text"), mark.alias("mark")]
     # the text isn't carried twice
     return docs.select(*cols, *([F.struct(*(c for c in docs.columns if c != "text")).alias("row")] if carry else []))
 
