@@ -61,9 +61,9 @@ def ruled_pages():
 
     for y in (101.5, 150.0, 200.0):
         rule(1, y, "t")
-    for y in (101.5, 120.0, 150.0, 152.0, 200.0, 230.0):
+    for y in (101.5, 120.0, 150.0, 152.0, 180.0, 230.0):  # the last is too tall a row
         rule(1, y, "s")
-    word(1, 60.0, 110.0, "８４９"), word(1, 110.0, 112.0, "second"), word(1, 110.0, 105.0, "first 1"), word(1, 420.0, 110.0, "note")
+    word(1, 60.0, 110.0, "８４９"), word(1, 110.0, 112.0, "second"), word(1, 110.0, 105.0, "first 1"), word(1, 430.0, 110.0, "note")
     word(1, 60.0, 160.0, "8001"), word(1, 110.0, 160.0, "B"), word(1, 60.0, 165.0, "8002")
     word(1, 210.0, 105.0, "12"), word(1, 265.0, 105.0, "src a"), word(1, 210.0, 130.0, "7x"), word(1, 210.0, 160.0, "3"), word(1, 270.0, 160.0, "src b")
     word(1, 60.0, 210.0, "12345")
@@ -71,7 +71,7 @@ def ruled_pages():
         rule(2, y, "t")
     for y in (70.0, 90.0, 130.0, 150.0):
         rule(2, y, "s")
-    word(2, 110.0, 80.0, "more"), word(2, 420.0, 80.0, "extra"), word(2, 210.0, 75.0, "44"), word(2, 265.0, 75.0, "src c")
+    word(2, 110.0, 80.0, "more"), word(2, 430.0, 80.0, "extra"), word(2, 210.0, 75.0, "44"), word(2, 265.0, 75.0, "src c")
     word(2, 60.0, 135.0, "850"), word(2, 110.0, 135.0, "C"), word(2, 210.0, 135.0, "5"), word(2, 265.0, 135.0, "src d")
     return words, rects
 
