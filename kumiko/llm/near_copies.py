@@ -8,8 +8,12 @@ candidates where their sizes allow 0.8, and whole sets decide. Keys of a set of
 - from 0.8 SMALL shingles on: BANDS bands of ROWS min-hashes each. Two sets that are exactly 0.8 alike miss all of them with a
   probability of (1 - 0.8 ** ROWS) ** BANDS, 6e-7, and sets that are more alike with less.
 
-So any two sets that are alike both have keys of one kind. Components need no more than a spanning forest: of the sets that
-share a key each meets one leader first, for STARS rounds; only sets that are then in different components meet each other.
+So any two sets that are alike both have keys of one kind. Sets that keys join, directly or over others, are a family. A pivot, the
+set that shares most keys, stands for its family: each set is compared with the pivot alone, and holds what differs from it,
+D(a) = a xor pivot. As a xor b = D(a) xor D(b), a pair that is alike either is alike with the pivot on both sides, or its
+differences share (|D(a)| + |D(b)| - (|a| + |b|) / 9) / 2 shingles or more. So the first shared one stands early in both, and an
+exact prefix join of the differences (shingles that the pivot lacks come first) finds such pairs. What most of a family shares is
+in no difference, so members that are unlike each other don't meet, however many they are.
 
 Words are those of golay_simhash (ASCII lower case, white space); fewer than five make one shingle. Texts without words are
 alike. Equal sets are one node; shingles and sets are told by 64-bit hashes. A null doc_id is never the one that stays unless
@@ -30,7 +34,10 @@ from . import common, golay_simhash
 SHINGLE = 5
 SMALL = 40
 BANDS, ROWS = 36, 5
-STARS = 2
+#: Sets of a family that are compared with one copy of their pivot.
+SPREAD = 1000
+#: Words of 64 bits in which a set's shingles are counted modulo two.
+PARITY = 8
 _BASE = 0x9E3779B97F4A7C15
 #: A multiplier for each min-hash, and one for each place in a band.
 _FACTORS = (common.mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
@@ -141,10 +148,16 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(data)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    bits = np.bincount((shingles % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in common.blocks(batches):
-        found = [shingle_set(t).view(np.int64) for t in block.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([block.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+        found = [shingle_set(t) for t in block.column("text").to_pylist()]
+        lists = [pa.array([f(x) for x in found], pa.list_(pa.int64())) for f in (lambda x: x.view(np.int64), parity)]
+        yield pa.RecordBatch.from_arrays([block.column("node"), *lists], names=["node", "shingles", "parity"])
 
 
 def _is(docs: DataFrame, doc_id: Column, text_hash: Column) -> Column:
@@ -152,12 +165,12 @@ def _is(docs: DataFrame, doc_id: Column, text_hash: Column) -> Column:
 
 
 def sets_of(nodes: DataFrame, docs: DataFrame, held: DataFrame) -> DataFrame:
-    """node and shingles of each of the nodes; the text of one row is read again for each."""
+    """node, shingles and parity of each of the nodes; the text of one row is read again for each."""
     some = held.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_hash", "doc_id")).alias("of"))
     name = common.unused(docs, "of")
     some = common.stored(some.select("node", F.col("of").alias(name)), "candidates")
     texts = docs.join(some, _is(docs, some[name]["doc_id"], some[name]["text_hash"])).select(some["node"], docs["text"])
-    return common.stored(texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    return common.stored(texts.mapInArrow(_sets, "node long, shingles array<long>, parity array<long>").dropDuplicates(["node"]), "sets")
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -168,6 +181,36 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(9 * both >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b")
 
 
+def families(rows: DataFrame) -> DataFrame:
+    """node, pivot and many (sets of the family) of each node of the rows (h, node, size)."""
+    lead = rows.groupBy("h").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("l"), F.count("*").alias("n"))
+    stars = common.stored(rows.join(lead, "h").groupBy("node", F.col("l.node").alias("to")).agg(F.sum("n").alias("n")), "stars")
+    shared = stars.groupBy("node").agg(F.sum("n").alias("n"))
+    members = golay_simhash.components(stars.select(F.col("node").alias("a"), F.col("to").alias("b"))).join(shared, "node")
+    per = members.groupBy("root").agg(F.max(F.struct("n", "node"))["node"].alias("pivot"), F.count("*").alias("many"))
+    return common.stored(members.join(per, "root").select("node", "pivot", "many"), "families")
+
+
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, pivot, parity, size, d (shingles that differ from the pivot's), linked (alike with it) and early: the first of these d.
+
+    With a partner b, a shared shingle at place p needs 18 (d - p) >= 9 (d + d_b) - (a + b); as b <= 5 a / 4, d_b >= 0 and
+    d_b >= d - (a + b) / 9, p is a / 4 and (d + a / 4) / 2 at most. A set that is alike with the pivot only looks for others
+    that are not (9 d_b > b + pivot), so there 18 p <= 9 d + a - pivot.
+    """
+    copies = F.floor(F.col("many") / SPREAD)
+    centre = members.select("pivot", copies.alias("last")).distinct().join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("centre")), "pivot")
+    centre = centre.select("pivot", "centre", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("copy"))
+    own = members.withColumn("copy", F.pmod(F.xxhash64("node"), copies + 1)).join(sets, "node")
+    apart = own.join(centre, ["pivot", "copy"]).select(
+        "node", "pivot", "parity", F.size("shingles").alias("size"), F.size("centre").alias("whole"),
+        F.concat(F.sort_array(F.array_except("shingles", "centre")), F.sort_array(F.array_except("centre", "shingles"))).alias("apart"),
+    )
+    apart = apart.withColumn("d", F.size("apart")).withColumn("linked", F.expr("9 * d <= size + whole"))
+    places = F.expr("least(size div 4, (4 * d + size) div 8, if(linked, floor((9 * d + size - whole) / 18), d))").cast("int")
+    return common.stored(apart.select("node", "pivot", "parity", "size", "d", "linked", F.slice("apart", 1, F.greatest(places + 1, F.lit(0))).alias("early")), "differences")
+
+
 def links(docs: DataFrame, held: DataFrame) -> DataFrame:
     """Links (a, b) between nodes that keep every component of the graph of 0.8 alike sets together."""
     nodes = held.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
@@ -175,25 +218,20 @@ def links(docs: DataFrame, held: DataFrame) -> DataFrame:
     parts = max(common.partitions(held), int(whole) // golay_simhash.BUCKET_ROWS + 1)
     dealt = nodes.mapInArrow(_dealt(parts), "part long, rows binary").repartition(parts, "part").sortWithinPartitions("part")
     rows = common.stored(dealt.mapInArrow(_met, "h long, node long, size long"), "met")
-    sets = sets_of(rows.select("node").distinct(), docs, held.select("doc_id", "text_hash", "node"))
-    fits = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & (5 * F.least("x.size", "y.size") >= 4 * F.greatest("x.size", "y.size"))
-    pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-    found, seen, roots = None, None, None
-    for k in range(STARS + 1):
-        named = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").select(*rows.columns, F.coalesce("now", "node").alias("root"))
-        if k < STARS:
-            lead = named.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("by"), "node", "size", "root")).alias("l"))
-            other, more = lead.select("h", *[F.col("l")[c].alias(c) for c in ("node", "size", "root")]), F.lit(True)
-        else:
-            other, more = named, F.col("x.node") < F.col("y.node")
-        pairs = named.alias("x").join(other.alias("y"), fits & more).select(*pair).distinct()
-        pairs = common.stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        seen = pairs if seen is None else seen.union(pairs)
-        good = common.cut(alike(pairs, sets))
-        found = good if found is None else found.union(good)
-        if k < STARS:
-            roots = common.stored(golay_simhash.components(found).withColumnRenamed("root", "now"), "roots")
-    return found
+    members = families(rows)
+    sets = sets_of(members.select("node"), docs, held.select("doc_id", "text_hash", "node"))
+    apart = differences(members, sets)
+    root = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("node")).alias("root")
+    places = apart.select("node", "pivot", "parity", "size", "d", root, F.posexplode("early").alias("p", "shingle"))
+    x, y = places.alias("x"), places.alias("y")
+    odd = " + ".join(f"bit_count(x.parity[{k}] ^ y.parity[{k}])" for k in range(PARITY))
+    meet = F.expr(
+        "x.shingle = y.shingle and x.pivot = y.pivot and x.node < y.node and x.root <> y.root and 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size)"
+        " and 18 * least(x.d - x.p, y.d - y.p) >= 9 * (x.d + y.d) - (x.size + y.size)"
+        f" and 9 * ({odd}) <= x.size + y.size"
+    )
+    pairs = common.stored(x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
+    return common.cut(alike(pairs, sets).union(apart.filter("linked").select("pivot", "node")))
 
 
 def groups(docs: DataFrame) -> DataFrame:
