@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,6 +113,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes of a sieve at most, whatever the number of its rows.
+SIEVE_BYTES = 8 << 20
+_PROBES = 4
+
+
+def _places(col: Column, bits: int) -> list[Column]:
+    """Places of a 64-bit hash in a sieve of `bits` bits, a power of two."""
+    low, step = col.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(col, 32).bitwiseOR(F.lit(1))
+    return [(low + step * k).bitwiseAND(F.lit(bits - 1)) for k in range(_PROBES)]
+
+
+def sieve(rows: DataFrame, col: Column):
+    """A function of a 64-bit hash column: false where no row has that hash in `col`, true where one has and, seldom, elsewhere.
+
+    A join with `rows` need move only what it lets through. It takes 16 bits a row up to SIEVE_BYTES; beyond that it lets more through
+    and spares less, and the join that follows decides all the same. Its words are put together by Spark, one row for each.
+    """
+    n = rows.count()
+    bits = min(1 << max(10, (16 * n).bit_length()), SIEVE_BYTES * 8)
+    at = rows.select(F.explode(F.array(*_places(col, bits))).alias("at"))
+    word = F.shiftright("at", 6).alias("word")
+    words = at.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()  # bounded: SIEVE_BYTES / 8 rows
+    table = np.zeros(bits // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    held = rows.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    @F.pandas_udf("boolean")
+    def passes(h: pd.Series) -> pd.Series:
+        at = np.frombuffer(held.value, np.uint64)
+        h = h.to_numpy().view(np.uint64)
+        step = h >> np.uint64(32) | np.uint64(1)
+        found = np.ones(len(h), bool)
+        for k in range(_PROBES):
+            place = h + step * np.uint64(k) & np.uint64(bits - 1)
+            found &= (at[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return pd.Series(found)
+
+    return passes
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 ... base ** (n - 1) modulo 2 ** 64."""
     out = np.full(max(n, 1), np.uint64(base), np.uint64)

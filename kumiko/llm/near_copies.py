@@ -157,28 +157,39 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in common.blocks(batches):
         found = [shingle_set(t) for t in block.column("text").to_pylist()]
         lists = [pa.array([f(x) for x in found], pa.list_(pa.int64())) for f in (lambda x: x.view(np.int64), parity)]
-        yield pa.RecordBatch.from_arrays([block.column("node"), *lists], names=["node", "shingles", "parity"])
+        yield pa.RecordBatch.from_arrays([*(block.column(c) for c in ("node", "pivot", "many")), *lists], names=["node", "pivot", "many", "shingles", "parity"])
 
 
 def _is(docs: DataFrame, doc_id: Column, text_hash: Column) -> Column:
     return docs["doc_id"].cast("long").eqNullSafe(doc_id) & F.xxhash64(docs["text"]).eqNullSafe(text_hash)
 
 
-def sets_of(nodes: DataFrame, docs: DataFrame, held: DataFrame) -> DataFrame:
-    """node, shingles and parity of each of the nodes; the text of one row is read again for each."""
-    some = held.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_hash", "doc_id")).alias("of"))
-    name = common.unused(docs, "of")
-    some = common.stored(some.select("node", F.col("of").alias(name)), "candidates")
-    texts = docs.join(some, _is(docs, some[name]["doc_id"], some[name]["text_hash"])).select(some["node"], docs["text"])
-    return common.stored(texts.mapInArrow(_sets, "node long, shingles array<long>, parity array<long>").dropDuplicates(["node"]), "sets")
+def _name(doc_id: Column, text_hash: Column) -> Column:
+    return F.xxhash64(doc_id, text_hash)
+
+
+def _row(docs: DataFrame) -> Column:
+    return _name(docs["doc_id"].cast("long"), F.xxhash64(docs["text"]))
+
+
+def sets_of(members: DataFrame, docs: DataFrame, held: DataFrame) -> DataFrame:
+    """The members (node, pivot, many) with shingles and parity; the text of one row is read again for each.
+
+    A row's name and text_hash give its doc_id, as xxhash64 maps 64-bit integers one to one, so they join in its place.
+    """
+    some = held.join(members, "node").groupBy("node", "pivot", "many").agg(F.min(F.struct("text_hash", "doc_id")).alias("of"))
+    some = common.stored(some.select("node", "pivot", "many", F.col("of.text_hash").alias("text_hash"), _name(F.col("of.doc_id"), F.col("of.text_hash")).alias("name")), "candidates")
+    rows = docs.select(_row(docs).alias("name"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = rows.filter(common.sieve(some, F.col("name"))(F.col("name"))).groupBy("name", "text_hash").agg(F.first("text").alias("text"))
+    texts = some.join(rows, ["name", "text_hash"]).select("node", "pivot", "many", "text")
+    return common.stored(texts.mapInArrow(_sets, "node long, pivot long, many long, shingles array<long>, parity array<long>"), "sets")
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are 0.8 alike or more."""
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
+    found = lambda c: sets.filter(common.sieve(pairs, F.col(c))(F.col("node"))).select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(one, "a").join(two, "b").filter(9 * both >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b")
+    return pairs.join(found("a"), "a").join(found("b"), "b").filter(9 * both >= 4 * (F.size("of_a") + F.size("of_b"))).select("a", "b")
 
 
 def families(rows: DataFrame) -> DataFrame:
@@ -191,7 +202,7 @@ def families(rows: DataFrame) -> DataFrame:
     return common.stored(members.join(per, "root").select("node", "pivot", "many"), "families")
 
 
-def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+def differences(sets: DataFrame) -> DataFrame:
     """node, pivot, parity, size, d (shingles that differ from the pivot's), linked (alike with it) and early: the first of these d.
 
     With a partner b, a shared shingle at place p needs 18 (d - p) >= 9 (d + d_b) - (a + b); as b <= 5 a / 4, d_b >= 0 and
@@ -199,9 +210,8 @@ def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     that are not (9 d_b > b + pivot), so there 18 p <= 9 d + a - pivot.
     """
     copies = F.floor(F.col("many") / SPREAD)
-    centre = members.select("pivot", copies.alias("last")).distinct().join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("centre")), "pivot")
-    centre = centre.select("pivot", "centre", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("copy"))
-    own = members.withColumn("copy", F.pmod(F.xxhash64("node"), copies + 1)).join(sets, "node")
+    centre = sets.filter("node = pivot").select("pivot", F.col("shingles").alias("centre"), F.explode(F.sequence(F.lit(0), copies)).alias("copy"))
+    own = sets.withColumn("copy", F.pmod(F.xxhash64("node"), copies + 1))
     apart = own.join(centre, ["pivot", "copy"]).select(
         "node", "pivot", "parity", F.size("shingles").alias("size"), F.size("centre").alias("whole"),
         F.concat(F.sort_array(F.array_except("shingles", "centre")), F.sort_array(F.array_except("centre", "shingles"))).alias("apart"),
@@ -218,9 +228,8 @@ def links(docs: DataFrame, held: DataFrame) -> DataFrame:
     parts = max(common.partitions(held), int(whole) // golay_simhash.BUCKET_ROWS + 1)
     dealt = nodes.mapInArrow(_dealt(parts), "part long, rows binary").repartition(parts, "part").sortWithinPartitions("part")
     rows = common.stored(dealt.mapInArrow(_met, "h long, node long, size long"), "met")
-    members = families(rows)
-    sets = sets_of(members.select("node"), docs, held.select("doc_id", "text_hash", "node"))
-    apart = differences(members, sets)
+    sets = sets_of(families(rows), docs, held.select("doc_id", "text_hash", "node"))
+    apart = differences(sets)
     root = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("node")).alias("root")
     places = apart.select("node", "pivot", "parity", "size", "d", root, F.posexplode("early").alias("p", "shingle"))
     x, y = places.alias("x"), places.alias("y")
@@ -255,9 +264,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     gone, again = common.unused(docs, "gone"), common.unused(docs, "again")
     spare = common.stored(rows.join(first, same, "left_anti").select(F.struct("doc_id", "text_hash").alias(gone)), "spare")
     several = common.stored(rows.join(first, same, "left_semi").filter("n > 1").select(F.struct("doc_id", "text_hash").alias(again)), "several")
-    kept = docs.join(spare, _is(docs, spare[gone]["doc_id"], spare[gone]["text_hash"]), "left_anti")
+    # only rows that a sieve of the spare ones lets through are moved; all others stay as they are
+    maybe = common.sieve(spare, _name(F.col(f"{gone}.doc_id"), F.col(f"{gone}.text_hash")))(_row(docs))
+    doubtful = docs.filter(maybe)
+    kept = docs.filter(~maybe).union(doubtful.join(spare, _is(doubtful, spare[gone]["doc_id"], spare[gone]["text_hash"]), "left_anti"))
     if several.isEmpty():
         return kept
     # repeated rows of one document: one of them stays
-    is_several = _is(kept, several[again]["doc_id"], several[again]["text_hash"])
-    return kept.join(several, is_several, "left_anti").union(kept.join(several, is_several, "left_semi").dropDuplicates(["doc_id", "text"]))
+    some = common.sieve(several, _name(F.col(f"{again}.doc_id"), F.col(f"{again}.text_hash")))(_row(kept))
+    doubtful = kept.filter(some)
+    is_several = _is(doubtful, several[again]["doc_id"], several[again]["text_hash"])
+    return kept.filter(~some).union(doubtful.join(several, is_several, "left_anti")).union(doubtful.join(several, is_several, "left_semi").dropDuplicates(["doc_id", "text"]))

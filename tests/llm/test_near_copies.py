@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from kumiko.llm import golay_simhash, near_copies
+from kumiko.llm import common, golay_simhash, near_copies
 
 
 def grams(text):
@@ -95,3 +96,25 @@ def test_stage_takes_edited_copies(spark):
     got = corpus_pipeline.near_dedup(spark, df, "").collect()
     assert sorted(x["text"] for x in got) == sorted([" ".join(words), "a lone one", "and another"])
     assert near_copies.one_of_each(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [common.SIEVE_BYTES, 128])
+def test_a_sieve_lets_all_its_rows_through(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "SIEVE_BYTES", most)
+    some = spark.range(3000).selectExpr("case id when 0 then 9223372036854775807L when 1 then -9223372036854775808L else xxhash64(id) end as h")
+    others = spark.range(3000, 13000).selectExpr("xxhash64(id) as h")
+    passes = common.sieve(some, F.col("h"))
+    assert some.filter(passes("h")).count() == 3000
+    through = others.filter(passes("h")).count()
+    assert through < 200 if most > 128 else through > 5000
+    assert others.filter(common.sieve(some.limit(0), F.col("h"))("h")).count() == 0
+
+
+def test_a_full_sieve_changes_no_result(spark, monkeypatch):
+    texts = corpus(3)
+    df = spark.createDataFrame([*((i, t) for i, t in enumerate(texts)), *((i, t) for i, t in enumerate(texts[:40])), *((None, t) for t in texts[:9])], "doc_id long, text string")
+    rows = lambda: sorted((x["doc_id"], x["text"]) for x in near_copies.one_of_each(df).collect())
+    want = rows()
+    assert [i for i, _ in want] == sorted({i for i, x in enumerate(brute(texts)) if x == i})
+    monkeypatch.setattr(common, "SIEVE_BYTES", 128)
+    assert rows() == want
