@@ -177,7 +177,7 @@ def sets_of(members: DataFrame, docs: DataFrame, held: DataFrame) -> DataFrame:
 
     A row's name and text_hash give its doc_id, as xxhash64 maps 64-bit integers one to one, so they join in its place.
     """
-    some = held.join(members, "node").groupBy("node", "pivot", "many").agg(F.min(F.struct("text_hash", "doc_id")).alias("of"))
+    some = held.groupBy("node").agg(F.min(F.struct("text_hash", "doc_id")).alias("of")).join(members, "node")  # copies are one row before they meet
     some = common.stored(some.select("node", "pivot", "many", F.col("of.text_hash").alias("text_hash"), _name(F.col("of.doc_id"), F.col("of.text_hash")).alias("name")), "candidates")
     rows = docs.select(_row(docs).alias("name"), F.xxhash64("text").alias("text_hash"), "text")
     rows = rows.filter(common.sieve(some, F.col("name"))(F.col("name"))).groupBy("name", "text_hash").agg(F.first("text").alias("text"))
@@ -243,22 +243,23 @@ def links(docs: DataFrame, held: DataFrame) -> DataFrame:
     return common.cut(alike(pairs, sets).union(apart.filter("linked").select("pivot", "node")))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp and root (the group's name) of each row: groups of near copies and of golay_simhash's links."""
-    held = common.stored(described(docs), "described")
+def roots(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """node and root (the group's name) of each node with links: groups of near copies and of golay_simhash's links."""
     distinct = common.cut(held.groupBy("fp").agg(F.min("node").alias("node")))
     bits = golay_simhash.links(distinct.select("fp"), distinct.count())
     name = lambda c: distinct.select(F.col("fp").alias(c), F.col("node").alias(f"of_{c}"))
     edges = bits.join(name("a"), "a").join(name("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     edges = edges.union(held.select("fp", F.col("node").alias("a")).distinct().join(distinct, "fp").select("a", F.col("node").alias("b")))
-    roots = common.cut(golay_simhash.components(edges.union(links(docs, held)).filter("a <> b")))
-    return held.join(roots, "node", "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "node").alias("root"))
+    return common.cut(golay_simhash.components(edges.union(links(docs, held)).filter("a <> b")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row (with all columns) of each group: that of the smallest doc_id (null last), of rows that share it the smaller hash."""
-    rows = common.stored(groups(docs).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")), "members")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
+    held = common.stored(described(docs), "described")
+    rows = common.stored(held.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "members")
+    # the first row of each node, then of each group: rows of one text never meet in one task
+    first = held.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
+    first = first.join(roots(docs, held), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("k").alias("k"))
     first = first.select(F.col("k.doc_id").alias("doc_id"), F.col("k.text_hash").alias("text_hash"))
     same = rows["doc_id"].eqNullSafe(first["doc_id"]) & rows["text_hash"].eqNullSafe(first["text_hash"])
     gone, again = common.unused(docs, "gone"), common.unused(docs, "again")
