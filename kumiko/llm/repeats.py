@@ -11,9 +11,11 @@ Shared by the two operators that remove repeated passages. The plan:
 3. What is left is one member of each class where an `h` has several classes: places where a passage begins or ends. Their
    spans are read from the texts again and compared in blocks by the operator's own method.
 
-An `h` of more than HOT classes doesn't go into one block: its windows are dealt out one by one, by a hash of the window, and go
-through the same comparison. Where a block of equal windows grows too long, the first of them goes on into the next block for
-the others to be compared with. So no step holds a group of unbounded size, and every window is judged.
+An `h` of more than HOT classes doesn't go into one block: its windows are dealt out in short runs, by a hash of what all windows
+of a run have in common, and go through the same comparison; equal windows stand in equal runs. A group of runs that is longer than
+a block is dealt out once more, its windows one by one, by a hash of the window. Where a block of equal windows grows too long, the
+first of them goes on into the next block for the others to be compared with. So no step holds a group of unbounded size, and every
+window is judged.
 
 Which members a class has is told by its 64-bit hashes `h` and `c`; the operator's own comparison sees one member of each class
 where windows may also repeat in another class.
@@ -37,6 +39,8 @@ CHUNK = 1 << 18
 #: Classes of one anchor hash up to which they are compared in one block, and the units of a block.
 HOT = 1 << 11
 BLOCK_UNITS = 200_000
+#: A hot hash's windows are dealt out in runs of a window's length divided by this.
+RUNS = 10
 #: Bytes of text whose anchors are combined before the shuffle: what bounds the rows that one passage of all texts can have.
 HELD_BYTES = 16 << 20
 #: An anchor's row packs a, m (12 bits each) and two flags: it needs no comparison; its class has other members in its block.
@@ -151,6 +155,10 @@ class Kind:
             raise ValueError("k must be within the window, and a window under 4096 units")
         self.name, self.size, self.k, self.earlier = name, size, k, earlier
 
+    def run(self) -> int:
+        """Windows of a run at most, where an anchor's windows are dealt out."""
+        return max(1, self.size // RUNS)
+
     def units(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the units and where each text's units start."""
         if self.name == "bytes":
@@ -236,7 +244,9 @@ def _combined(h: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray, ear
 
 
 def _segment_rows(kind: Kind) -> Callable:
-    """Reads the spans of open anchors from the texts: one row with the span, or for hot hashes one for each window's own."""
+    """Reads the spans of open anchors from the texts: one row with the span, or for hot hashes one for each run of windows."""
+    most = kind.run()
+    core = kind.size - most + 1  # what all windows of a run have in common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches):
@@ -253,8 +263,15 @@ def _segment_rows(kind: Kind) -> Callable:
                     if not x["hot"]:
                         out.append((x["h"], 0, doc, x["at"], x["am"], x["several"], piece.tobytes()))
                     else:
-                        for j, w in enumerate(window_hashes(bytes_as_units(piece) if kind.name == "bytes" else piece, kind.size).view(np.int64).tolist()):
-                            out.append((x["h"], w or 1, doc, x["at"] + j, (x["am"] >> 12 & 0xFFF) - j << 12 | 1, x["several"], piece[j : j + kind.size].tobytes()))
+                        a = x["am"] >> 12 & 0xFFF
+                        hashes = window_hashes(bytes_as_units(piece) if kind.name == "bytes" else piece, core).view(np.int64)
+                        j = 0
+                        while j < m:  # windows of offsets r * most to r * most + most - 1, counted to the anchor's k-gram
+                            r = (a - j) // most
+                            to = min(m, a - r * most + 1)
+                            w = int(hashes[a - r * most]) ^ r  # the core starts where the run's last window would
+                            out.append((x["h"], w or 1, doc, x["at"] + j, a - j << 12 | to - j, x["several"], piece[j : to + kind.size - 1].tobytes()))
+                            j = to
                     if len(out) >= 2000:
                         yield _segments(out)
                         out = []
@@ -273,14 +290,31 @@ def _segments(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _SEGMENT_TYPES, strict=True)], names=_SEGMENT_NAMES)
 
 
-def _spans(doc: list, at: np.ndarray | list, n: np.ndarray | list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int32())], names=["doc_id", "at", "n"])
+def _spans(doc: list, at: list, n: list) -> pa.RecordBatch:
+    """Windows that repeat, as rows without a piece, dealt anywhere; am holds how many stand in a row."""
+    return _segments([(d, 0, d, x, k, False, None) for d, x, k in zip(doc, at, n, strict=True)])
+
+
+def _single_windows(row: tuple, kind: Kind) -> Iterator[tuple]:
+    """A row for each window of a run, dealt by the window's hash."""
+    h, _, doc, at, am, several, piece = row
+    raw = np.frombuffer(piece, np.uint8 if kind.name == "bytes" else np.uint64)
+    for j, w in enumerate(window_hashes(bytes_as_units(raw) if kind.name == "bytes" else raw, kind.size).view(np.int64).tolist()):
+        yield h, w or 1, doc, at + j, (am >> 12 & 0xFFF) - j << 12 | 1, several, raw[j : j + kind.size].tobytes()
+
 
+def _compared(kind: Kind, judge: Callable, last: bool = True) -> Callable:
+    """Rows come sorted by (h, w, doc_id, at); gives the spans of windows that repeat (see _spans; such rows pass through).
 
-def _compared(kind: Kind, judge: Callable) -> Callable:
-    """Rows come sorted by (h, w, doc_id, at); gives the spans of windows that repeat."""
+    Unless this is the `last` comparison, a group of runs longer than a block isn't judged: its windows go on one by one. In the last
+    one all windows of a group that has a hash `w` are equal.
+    """
 
     def flush(rows: list[tuple]) -> pa.RecordBatch | None:
+        # equal windows stand in one group, and in different spans of it
+        rows = [r for i, r in enumerate(rows) if i and rows[i - 1][:2] == r[:2] or i + 1 < len(rows) and rows[i + 1][:2] == r[:2]]
+        if not rows:
+            return None
         group, doc, at, am, piece = ([r[i] for r in rows] for i in (0, 2, 3, 4, 6))
         m = np.array([x & 0xFFF for x in am], np.int64)
         a = np.array([x >> 12 & 0xFFF for x in am], np.int64)
@@ -301,25 +335,45 @@ def _compared(kind: Kind, judge: Callable) -> Callable:
         lead = np.flatnonzero(new)
         n = np.diff(np.append(lead, len(step)))
         who = owner[step[lead]]
-        return _spans([doc[i] for i in who.tolist()], [at[i] + int(j) for i, j in zip(who.tolist(), (windows[step[lead]] - firsts[who]).tolist(), strict=True)], n.astype(np.int32))
+        return _spans([doc[i] for i in who.tolist()], [at[i] + int(j) for i, j in zip(who.tolist(), (windows[step[lead]] - firsts[who]).tolist(), strict=True)], n.tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # whole groups, and the group that goes on
-        units, now, first = 0, None, None
+        on: list[tuple] = []  # rows that go on to the last comparison
+        units, mine, now, before, first, wide = 0, 0, None, None, None, False
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in _SEGMENT_NAMES), strict=True):
-                same = row[:2] == now
-                if same and held[-1][2:4] == row[2:4]:  # a repeated row of one document
-                    continue
-                if units >= BLOCK_UNITS and (not same or row[1]):
-                    if (out := flush(held)) is not None:
-                        yield out
-                    held = [first] if same else []  # all windows of a group that has a window's hash are equal
-                    units = kind.size * len(held)
-                if not same:
-                    now, first = row[:2], row
-                held.append(row)
-                units += (row[4] & 0xFFF) + kind.size
+                if row[6] is None:
+                    on.append(row)
+                else:
+                    same = row[:2] == now
+                    if same and before == row[2:4]:  # a repeated row of one document
+                        continue
+                    before = row[2:4]
+                    if not same:
+                        now, first, mine, wide = row[:2], row, 0, False
+                    if units >= BLOCK_UNITS and (not same or last and row[1]):
+                        if (out := flush(held)) is not None:
+                            yield out
+                        held = [first] if same else []  # the others are compared with it
+                        units = kind.size * len(held)
+                    if wide:
+                        on.extend(_single_windows(row, kind))
+                    else:
+                        held.append(row)
+                        length = (row[4] & 0xFFF) + kind.size
+                        units, mine = units + length, mine + length
+                        if row[1] and not last and mine >= BLOCK_UNITS:
+                            wide = True
+                            while held and held[-1][:2] == now:
+                                on.extend(_single_windows(held.pop(), kind))
+                            units -= mine
+                if len(on) >= 2000:
+                    for k in range(0, len(on), 2000):
+                        yield _segments(on[k : k + 2000])
+                    on = []
+        if on:
+            yield _segments(on)
         if held and (out := flush(held)) is not None:
             yield out
 
@@ -359,7 +413,9 @@ def repeated_spans(docs: DataFrame, kind: Kind, judge: Callable, carry: bool = F
     held = texts.repartition(n, "doc_id")
     open_texts = held.join(by_doc.filter(F.size("open") > 0).select("doc_id", "open"), "doc_id")
     pieces = open_texts.mapInArrow(_segment_rows(kind), _SEGMENTS).repartition(n, "h", "w").sortWithinPartitions("h", "w", "doc_id", "at")
-    found = pieces.mapInArrow(_compared(kind, judge), "doc_id long, at long, n int").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("found"))
+    singles = pieces.mapInArrow(_compared(kind, judge, last=False), _SEGMENTS).repartition(n, "h", "w").sortWithinPartitions("h", "w", "doc_id", "at")
+    spans = singles.mapInArrow(_compared(kind, judge), _SEGMENTS).select("doc_id", "at", F.col("am").alias("n"))
+    found = spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("found"))
     return held.join(by_doc.select("doc_id", "settled"), "doc_id", "left").join(found, "doc_id", "left")
 
 

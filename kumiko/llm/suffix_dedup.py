@@ -87,33 +87,54 @@ def adjacent_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.nda
     """For each suffix but the first of `order`, the bytes (`depth` at most) that it has in common with the one before."""
     n, out = len(text), np.zeros(max(0, len(order) - 1), np.int64)
     open_ = np.arange(len(out))
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    words = np.ndarray(n, "<u8", np.concatenate([text, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))  # the 8 bytes from each place on
     for step in range(0, depth, 8):
         a, b = order[open_] + step, order[open_ + 1] + step
         inside = np.maximum(a, b) < n
         open_, a, b = open_[inside], a[inside], b[inside]
         if not len(open_):
             break
-        same = words[a] == words[b]
+        differs = words[a] ^ words[b]
         room = np.minimum(8, np.minimum(depth - step, n - np.maximum(a, b)))
-        got = np.minimum(np.where(same.all(axis=1), 8, np.argmin(same, axis=1)), room)
+        # bits below the lowest that differs: 64 where none does
+        got = np.minimum(np.bitwise_count((differs & (~differs + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3, room)
         out[open_] += got
         open_ = open_[got == 8]
     return out
 
 
+def _may_repeat(units: np.ndarray, windows: np.ndarray, size: int) -> np.ndarray:
+    """Which windows have a hash that another one has too; all that repeat are among them."""
+    hashes = repeats.window_hashes(repeats.bytes_as_units(units), size)[windows]
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    out = np.zeros(len(windows), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
 def _repeated(units: np.ndarray, group: np.ndarray, windows: np.ndarray, owner: np.ndarray, offset: np.ndarray, kind: repeats.Kind) -> np.ndarray:
+    out = np.zeros(len(windows), bool)
+    open_ = np.flatnonzero(_may_repeat(units, windows, kind.size))
+    if not len(open_):
+        return out
+    # the array is built of the bytes that these windows have
+    starts = windows[open_]
+    edge = np.zeros(len(units) + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + kind.size, -1)
+    inside = np.cumsum(edge[:-1]) > 0
+    units, starts = units[inside], (np.cumsum(inside) - 1)[starts]
     order = two_stage_suffix_array(units, kind.size)
     slot = np.full(len(units), -1, np.int64)
-    slot[windows] = np.arange(len(windows))
+    slot[starts] = np.arange(len(starts))
     order = order[slot[order] >= 0]
     equal = adjacent_prefixes(units, order, kind.size) >= kind.size
     bad = np.zeros(len(order), bool)
     bad[1:] |= equal
     bad[:-1] |= equal
-    out = np.zeros(len(windows), bool)
-    out[slot[order[bad]]] = True
+    out[open_[slot[order[bad]]]] = True
     return out
 
 

@@ -178,3 +178,73 @@ def test_many_texts_without_ids(spark):
     assert repeats.marked(df).select("doc_id").distinct().count() == 40
     got = suffix_dedup(df, window=30, gram=10).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == brute_bytes(rows, 30)
+
+
+def long_passage_in_many_texts(n):
+    """Spans around one passage of 197 bytes, no two texts of which share a window but the last two."""
+    r = random.Random(7)
+    other = lambda k: bytes(r.choice(b"klmnop") for _ in range(k))
+    passage = bytes(r.choice(b"abcdef") for _ in range(197))
+    texts = [other(180) + bytes([48 + i]) + passage + bytes([48 + i]) + other(180) for i in range(n)]  # another neighbour in each
+    return [*texts, b"z" + texts[-1][150:-150] + b"z"]
+
+
+def anchor_rows(texts):
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = repeats.anchors(repeats.bytes_as_units(data), ends, 200, 40)
+    return [{k: int(v[i]) for k, v in got.items()} for i in range(len(got["h"]))]
+
+
+def segments(texts, hot):
+    """The segments of all anchors that several texts have."""
+    import pyarrow as pa
+
+    rows = anchor_rows(texts)
+    often = {h for h, n in Counter(x["h"] for x in rows).items() if n > 1}
+    wanted = [[{"h": x["h"], "at": x["start"], "am": x["a"] << 12 | x["m"], "hot": hot, "several": False} for x in rows if x["text"] == i and x["h"] in often] for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t.decode() for t in texts]), pa.array([0] * len(texts), pa.int64()), pa.array(wanted)], names=["doc_id", "text", "mark", "open"])
+    kind = repeats.Kind("bytes", 200, 40, earlier=False)
+    return sum(len(w) for w in wanted), [r for b in repeats._segment_rows(kind)(iter([batch])) for r in zip(*(b.column(c).to_pylist() for c in repeats._SEGMENT_NAMES))]
+
+
+def test_hot_hashes_are_dealt_out_in_runs():
+    texts = long_passage_in_many_texts(40)
+    anchors, rows = segments(texts, hot=True)
+    _, whole = segments(texts, hot=False)
+    windows = lambda found: sorted((r[2], r[3] + j) for r in found for j in range(r[4] & 0xFFF))
+    assert windows(rows) == windows(whole)  # every window, once
+    assert len(rows) <= 10 * anchors and len(rows) < len(windows(rows)) / 8
+    assert sum(len(r[6]) for r in rows) < 6 * sum(len(r[6]) for r in whole)
+
+
+@pytest.mark.parametrize("block", [200_000, 3000])
+def test_long_groups_of_runs_go_on_as_windows(monkeypatch, block):
+    monkeypatch.setattr(repeats, "BLOCK_UNITS", block)
+    texts = long_passage_in_many_texts(60)
+    kind = repeats.Kind("bytes", 200, 40, earlier=False)
+    found = []
+    for hot in (False, True):
+        rows = segments(texts, hot)[1]
+        middle = 0
+        for last in (False, True):
+            rows.sort(key=lambda r: r[:4])
+            rows = [r for b in repeats._compared(kind, suffix_dedup_module._repeated, last)(iter([repeats._segments(rows)])) for r in zip(*(b.column(c).to_pylist() for c in repeats._SEGMENT_NAMES))]
+            middle = middle or sum(r[6] is not None for r in rows)
+        assert all(r[6] is None for r in rows)
+        assert (middle > 0) == (hot and block == 3000)
+        found.append(sorted({(r[2], r[3] + j) for r in rows for j in range(r[4])}))
+    count = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    assert found[0] == found[1] == sorted((d, i) for d, t in enumerate(texts) for i in range(len(t) - 199) if count[t[i : i + 200]] > 1)
+    assert found[0]
+
+
+def test_arrays_hold_only_bytes_of_windows_that_may_repeat(monkeypatch):
+    sizes = []
+    array = suffix_dedup_module.two_stage_suffix_array
+    monkeypatch.setattr(suffix_dedup_module, "two_stage_suffix_array", lambda text, depth=None: sizes.append(len(text)) or array(text, depth))
+    texts = long_passage_in_many_texts(40)
+    rows = sorted(segments(texts, hot=False)[1], key=lambda r: r[:4])
+    kind = repeats.Kind("bytes", 200, 40, earlier=False)
+    assert list(repeats._compared(kind, suffix_dedup_module._repeated)(iter([repeats._segments(rows)])))
+    # no other texts than the last two share a window
+    assert 0 < sum(sizes) <= sum(len(r[6]) for r in rows if r[2] >= 39) < sum(len(r[6]) for r in rows)
